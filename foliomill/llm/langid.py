@@ -130,10 +130,11 @@ class LanguageFilter:
         return names, scores
 
 
-def fit(labelled: DataFrame, per_language: int = 3000, grams_each: int = 12000, slot_bits: int = 18) -> LanguageFilter:
+def fit(labelled: DataFrame, per_language: int = 3000, grams_each: int = 12000, slot_bits: int = 18, strays: float = 50.0) -> LanguageFilter:
     """Learn from (doc_id, text, lang) rows; about ``per_language`` rows of each language are read.
 
     The rows are those of the smallest hashes of doc_id, so the sample is the same at each run.
+    An n-gram that another language has ``strays`` times as often is left out as a stray.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull())
@@ -153,7 +154,9 @@ def fit(labelled: DataFrame, per_language: int = 3000, grams_each: int = 12000,
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("place", place).where(F.col("place") <= grams_each).select("lang", "gram").toPandas()
+    top = counts.withColumn("place", place).where(F.col("place") <= grams_each).select("lang", "gram", "n").toPandas()
+    share = top.n / top.groupby("lang").n.transform("sum")
+    top = top[share * strays >= share.groupby(top.gram).transform("max")]
     return LanguageFilter.build({name: group.gram.to_numpy().view(np.uint64) for name, group in top.groupby("lang")}, slot_bits)
 
 
