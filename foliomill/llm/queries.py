@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_rules, quality, simhash
+from . import decontam, langid, line_rules, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op6_line_rules, op8_langid)
+    f.__name__: f for f in (op1_quality, op2_simhash, op4_decontamination, op6_line_rules, op8_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_line_rules": line_rules.ORACLE}
