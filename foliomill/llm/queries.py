@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_rules, quality, simhash
+from . import decontam, langid, license_scan, line_rules, quality, simhash, url_filter, warc
+from .scratch import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +38,17 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.write(_table(spark, sf_dir, "pages")))
+    return warc.read(archives, payloads=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op4_decontamination, op6_line_rules, op8_langid)
+    f.__name__: f for f in (op1_quality, op2_simhash, op4_decontamination, op5_license_scan, op6_line_rules, op8_langid, op9_url_filter, op10_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_rules": line_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_line_rules": line_rules.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE}
