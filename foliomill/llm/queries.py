@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, line_rules, quality, simhash, url_filter, warc
+from . import decontam, langid, license_scan, line_rules, mixing, quality, simhash, url_filter, warc
 from .scratch import materialize
 
 
@@ -34,6 +34,10 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(_table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op4_decontamination, op5_license_scan, op6_line_rules, op8_langid, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op1_quality, op2_simhash, op4_decontamination, op5_license_scan, op6_line_rules, op7_mixing, op8_langid, op9_url_filter, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_line_rules": line_rules.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE}
