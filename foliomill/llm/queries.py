@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, license_scan, line_rules, mixing, quality, simhash, url_filter, warc
+from . import decontam, langid, license_scan, line_rules, mixing, quality, sharding, simhash, url_filter, warc
 from .scratch import materialize
 
 
@@ -22,6 +22,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents")).drop("linked")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op4_decontamination, op5_license_scan, op6_line_rules, op7_mixing, op8_langid, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op1_quality, op2_simhash, op3_sharding, op4_decontamination, op5_license_scan, op6_line_rules, op7_mixing, op8_langid, op9_url_filter, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_line_rules": line_rules.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_warc": warc.ORACLE}
