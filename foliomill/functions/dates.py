@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normalize import once
+
 #: Spanish month names, in order. Fixed values.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
@@ -33,7 +35,8 @@ def month_number(name: Column) -> Column:
 
 
 def checked_date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+    """The date, or null where there is none."""
+    return F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 def two_digit_year(year: Column) -> Column:
@@ -42,6 +45,10 @@ def two_digit_year(year: Column) -> Column:
 
 def date_suggestions(text: Column) -> Column:
     """``dd/MM/yyyy`` for each form that the text has, in order, duplicates included."""
+    return once(text, _date_suggestions)
+
+
+def _date_suggestions(text: Column) -> Column:
     out = []
     for pattern, digits in DATE_FORMS:
         day, month, year = (F.regexp_extract(text, pattern, g) for g in (1, 2, 3))
