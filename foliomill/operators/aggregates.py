@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import once
+
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -144,9 +146,8 @@ def top_k_rates(df: DataFrame, truth: str, ranked: str, ks=(1, 2, 3, 5)) -> Data
 
 
 def softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - peak))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    raised = once(F.array_max(logits), lambda peak: F.transform(logits, lambda x: F.exp(x - peak)))
+    return once(raised, lambda r: once(F.aggregate(r, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(r, lambda x: x / total)))
 
 
 def subword_scores(scores: Column, word_ids: Column, how: str = "max") -> Column:

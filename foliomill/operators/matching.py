@@ -44,7 +44,7 @@ def first_rule(df: DataFrame, text: Column, rules: DataFrame, key: str) -> DataF
     Distinct texts are matched once each, so the rules meet every text and not every row.
     """
     texts = df.select(text.alias("_text")).where("_text is not null").distinct()
-    hits = texts.join(F.broadcast(rules), texts["_text"].rlike(rules["pattern"]))
+    hits = texts.join(F.broadcast(rules), F.rlike(texts["_text"], rules["pattern"]))
     named = hits.groupBy("_text").agg(F.min_by("name", "ord").alias("rule"))
     return df.withColumn("_text", text).join(named, "_text", "left").drop("_text")
 
