@@ -44,6 +44,8 @@ def align(pairs: DataFrame, by_document: bool = False) -> DataFrame:
             for row in batch.itertuples(index=False):
                 a, b = row.source_text or "", row.target_text or ""
                 made = align_documents(a, b) if by_document else align_tokens(tokens_of(a), tokens_of(b))
+                if not made:
+                    continue
                 yield pd.DataFrame({"pair_id": [row.pair_id] * len(made), "pos": range(len(made)), "source": [x[0] for x in made], "target": [x[1] for x in made]})
 
     return pairs.select("pair_id", "source_text", "target_text").mapInPandas(run, "pair_id long, pos int, source string, target string")

@@ -16,7 +16,7 @@ SPANS = f"""
 cut AS (SELECT {{keys}}, text, regexp_extract_all(text, '{_EVERY}') AS hits, string_split_regex(text, '{_EVERY}') AS gaps FROM {{source}}),
 each AS (SELECT {{keys}}, text, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM cut WHERE len(hits) > 0),
 placed AS (SELECT {{keys}}, text, hit, i, (sum(length(gap) + length(hit)) OVER (PARTITION BY {{keys}} ORDER BY i))::INT AS end_char FROM each),
-spans AS (SELECT {{keys}}, text, i, hit, end_char - length(hit) AS start_char, end_char, {_NAME} AS label FROM placed)
+spans AS (SELECT {{keys}}, text, i, hit, (end_char - length(hit))::INT AS start_char, end_char, {_NAME} AS label FROM placed)
 """
 #: Redacted text of spans: islands of equal labels at most one character apart.
 REDACT = """
@@ -110,7 +110,7 @@ def decision_subcategory(t):
     return t.orders.select("o_orderkey", rules.decision_subclass(_pick(_RULINGS)).alias("subclass"))
 
 
-@query(f"WITH d AS (SELECT o_orderkey, {sql_list(_RULINGS)}[1 + (o_orderkey % 7)] AS x, (o_orderkey % 100) / 100.0 AS p FROM orders) SELECT o_orderkey, CASE WHEN p > 0.88 THEN 1 ELSE 0 END::INT AS n, CASE WHEN p > 0.88 THEN length(x) END AS end_char FROM d")
+@query(f"WITH d AS (SELECT o_orderkey, {sql_list(_RULINGS)}[1 + (o_orderkey % 7)] AS x, (o_orderkey % 100) / 100.0 AS p FROM orders) SELECT o_orderkey, CASE WHEN p > 0.88 THEN 1 ELSE 0 END::INT AS n, CASE WHEN p > 0.88 THEN length(x)::INT END AS end_char FROM d")
 def decision_gate(t):
     made = rules.decide(F.array().cast(rules_entities()), _pick(_RULINGS), (F.col("o_orderkey") % 100) / 100.0)
     return t.orders.select("o_orderkey", F.size(made).alias("n"), F.get(made, 0)["end_char"].alias("end_char"))
@@ -209,9 +209,9 @@ def time_suggestions(t):
     return t.events.select("event_id", F.array_join(dates.time_suggestions(F.get(texts, F.col("event_id") % 3)), ",").alias("times"))
 
 
-@query("SELECT doc_id, ['a', 'b'] AS keys, length(text)::INT AS n FROM documents")
+@query("SELECT doc_id, 'a,b' AS keys, length(text)::INT AS n FROM documents")
 def spans_map(t):
     one = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
     kept = F.create_map(F.lit("a"), one, F.lit("b"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))))
     made = spans.set_spans(kept, "b", one)
-    return t.documents.select("doc_id", F.array_sort(F.map_keys(made)).alias("keys"), F.get(made["b"], 0)["end"].alias("n"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(F.map_keys(made)), ",").alias("keys"), F.get(made["b"], 0)["end"].alias("n"))

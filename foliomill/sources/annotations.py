@@ -34,7 +34,7 @@ def export_metadata(tasks: DataFrame) -> DataFrame:
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """``path, doc_ord, tok_idx, token, label``."""
-    return conll_tokens(spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+    return conll_tokens(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
 
 
 def conll_tokens(files: DataFrame) -> DataFrame:
