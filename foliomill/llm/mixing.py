@@ -55,6 +55,8 @@ DEFAULT = Weights({(): {"core": 0.6, "long_tail": 0.4}, ("*",): {"en": 0.55, "de
 
 def budgets(supply: dict[tuple[str, ...], int], total: float, weights: Weights) -> dict[tuple[str, ...], float]:
     """Tokens for each leaf, none above its supply; all of ``total`` if the supply allows."""
+    if not supply:
+        return {}
     room: dict[tuple[str, ...], float] = defaultdict(float)
     children: dict[tuple[str, ...], set[str]] = defaultdict(set)
     for leaf, tokens in supply.items():
@@ -125,6 +127,6 @@ def select(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epoc
 
 def keep_selected(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are selected, each as often as it is taken."""
-    chosen = select(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    kept = docs.join(chosen, "doc_id")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    chosen = select(docs, **options).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_times"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_key"))
+    return rows.join(chosen, "_key").select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
