@@ -90,7 +90,8 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 8, group: Column | N
     slim = materialize(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), key.alias("group"), F.xxhash64("doc_id", F.lit(17)).alias("order")))
     total = slim.count()
     capacity, bits = max(1, total // shards), bits_for(total)
-    many = slim.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
+    # Written first, so that the join deals both sides anew and can split a hot group's partition.
+    many = materialize(slim.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.ceil(F.col("members") / F.lit(max(1.0, 0.4 * capacity))))
     told = slim.join(many, "group", "left").select("doc_id", "size", "text_crc32", "order", F.when(F.col("members").isNotNull(), F.xxhash64("group", part)).alias("unit"), F.pmod("order", F.lit(shards)).cast("int").alias("start"))
     told = materialize(told)
