@@ -86,10 +86,10 @@ def without_stop_words(tokens: Column, words: list[str]) -> Column:
 
 def vocabulary(tokens: DataFrame, least: int = 1) -> DataFrame:
     """``token, n, token_id``: ids from 1 by falling count, then by token."""
-    from pyspark.sql import Window
+    from ..operators.windows import ordered_rank
 
     counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counts.withColumn("token_id", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+    return ordered_rank(counts, [-F.col("n"), F.substring("token", 1, 2)], [F.col("token")], "token_id")
 
 
 def subword_labels(word_ids: Column, tags: Column, ignore: int = -100) -> Column:

@@ -59,9 +59,8 @@ def downsample_train(t):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR))::INT AS place FROM documents")
 def seeded_shuffle(t):
-    from pyspark.sql import Window
-
-    return t.documents.select("doc_id", F.row_number().over(Window.orderBy(windows.seeded_order("doc_id", 42))).alias("place"))
+    rows = t.documents.select("doc_id", windows.seeded_order("doc_id", 42).alias("key"))
+    return windows.ordered_rank(rows, [F.substring("key", 1, 2)], [F.col("key")], "place").select("doc_id", "place")
 
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
@@ -210,9 +209,8 @@ def unique_everseen(t):
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders")
 def sort_values(t):
-    from pyspark.sql import Window
-
-    return t.orders.select("o_orderkey", "o_totalprice", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    return windows.ordered_rank(rows, [-F.floor(F.col("o_totalprice") / 1000)], [F.desc("o_totalprice"), F.col("o_orderkey")], "place")
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best FROM orders GROUP BY o_custkey")
@@ -282,10 +280,8 @@ def containment_join(t):
 
 @query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM pages) SELECT doc_id, page_id FROM a JOIN b USING (r)")
 def positional_zip(t):
-    from pyspark.sql import Window
-
-    a = t.documents.select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("r"))
-    return a.join(t.pages.select("page_id", F.row_number().over(Window.orderBy("page_id")).alias("r")), "r").select("doc_id", "page_id")
+    place = lambda df, key: windows.ordered_rank(df.select(key), [F.floor(F.col(key) / 1000)], [F.col(key)], "r")
+    return place(t.documents, "doc_id").join(place(t.pages, "page_id"), "r").select("doc_id", "page_id")
 
 
 _CELLS = "SELECT doc_id AS id, quality::VARCHAR AS prediction, toxic::VARCHAR AS validation FROM labels"
