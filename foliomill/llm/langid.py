@@ -26,7 +26,7 @@ from .words import bounded_batches, mix
 UNKNOWN = "und"
 SIZES = (3, 4)
 HASHES = 3
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
 
@@ -37,51 +37,49 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams, the index of each one's text, and whether each text has a letter.
+def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of n-gram hashes, the index of each one's text, and the texts seen to have a letter.
 
     Texts are lower-cased; runs of other characters than letters count as one space, and a
-    space stands before and after each text.
+    space stands before and after each text. A block holds about ``_PIECE`` characters, and a
+    longer text is cut into pieces that overlap, so memory doesn't follow the texts.
     """
-    pieces, owner = [], []
-    overlap = max(SIZES) - 1
+    held: list[tuple[int, str]] = []
+    size, overlap = 0, max(SIZES) - 1
     for i, text in enumerate(texts):
         text = f" {(text or '').lower()} "
         for at in range(0, max(1, len(text) - overlap), _PIECE):
-            pieces.append(text[at : at + _PIECE + overlap])
-            owner.append(i)
-    has = np.zeros(len(texts), dtype=bool)
+            piece = text[at : at + _PIECE + overlap]
+            if held and size + len(piece) > _PIECE:
+                yield _block(held)
+                held, size = [], 0
+            held.append((i, piece))
+            size += len(piece)
+    if held:
+        yield _block(held)
+
+
+def _block(held: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code = np.frombuffer("".join(x for _, x in held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    part = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, x in held])
+    owner = np.array([i for i, _ in held], dtype=np.int32)
+    letter = _letters()[code]
+    keep = letter.copy()
+    keep[0] = True
+    keep[1:] |= letter[:-1] | (part[1:] != part[:-1])
+    code = np.where(letter, code, 32)[keep].astype(np.uint64)
+    part, letter = part[keep], letter[keep]
+    doc = owner[part]
     grams, docs = [], []
-    at = 0
-    while at < len(pieces):
-        to, size = at, 0
-        while to < len(pieces) and (to == at or size + len(pieces[to]) <= _PIECE):
-            size += len(pieces[to])
-            to += 1
-        code = np.frombuffer("".join(pieces[at:to]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        part = np.repeat(np.arange(at, to, dtype=np.int32), [len(x) for x in pieces[at:to]])
-        letter = _letters()[code]
-        keep = letter.copy()
-        keep[0] = True
-        keep[1:] |= letter[:-1] | (part[1:] != part[:-1])
-        code = np.where(letter, code, 32)[keep].astype(np.uint64)
-        part, letter = part[keep], letter[keep]
-        doc = np.asarray(owner, dtype=np.int32)[part]
-        has[doc[letter]] = True
-        for n in SIZES:
-            m = len(code) - n + 1
-            if m <= 0:
-                continue
-            h = code[:m] + np.uint64(n)
-            for j in range(1, n):
-                h = h * _STEP + code[j : j + m]
-            ok = part[:m] == part[n - 1 :]
-            grams.append(mix(h[ok]))
-            docs.append(doc[:m][ok])
-        at = to
-    if not grams:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), has
-    return np.concatenate(grams), np.concatenate(docs), has
+    for n in SIZES:
+        m = max(0, len(code) - n + 1)
+        h = code[:m] + np.uint64(n)
+        for j in range(1, n):
+            h = h * _STEP + code[j : j + m]
+        ok = part[:m] == part[n - 1 : n - 1 + m]
+        grams.append(mix(h[ok]))
+        docs.append(doc[:m][ok])
+    return np.concatenate(grams), np.concatenate(docs), np.unique(doc[letter])
 
 
 @dataclass
@@ -111,17 +109,21 @@ class LanguageFilter:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        grams, doc, has = ngrams(texts)
+        has = np.zeros(len(texts), dtype=bool)
+        total = np.zeros(len(texts))
         hits = np.zeros((len(self.languages), len(texts)))
         bits = int(self.slots.shape[0]).bit_length() - 1
-        places = self.places(grams, bits)
-        for w in range(self.slots.shape[1]):
-            mask = self.slots[places[0], w]
-            for at in places[1:]:
-                mask &= self.slots[at, w]
-            for b in range(min(64, len(self.languages) - 64 * w)):
-                hits[64 * w + b] = np.bincount(doc, weights=(mask >> np.uint64(b)) & np.uint64(1), minlength=len(texts))
-        total = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+        for grams, doc, lettered in ngrams(texts):
+            has[lettered] = True
+            total += np.bincount(doc, minlength=len(texts))
+            places = self.places(grams, bits)
+            for w in range(self.slots.shape[1]):
+                mask = self.slots[places[0], w]
+                for at in places[1:]:
+                    mask &= self.slots[at, w]
+                for b in range(min(64, len(self.languages) - 64 * w)):
+                    hits[64 * w + b] += np.bincount(doc, weights=(mask >> np.uint64(b)) & np.uint64(1), minlength=len(texts))
+        total = np.maximum(total, 1)
         rate = self.false_rate[:, None]
         share = np.clip((hits / total - rate) / (1 - np.minimum(rate, 0.999)), 0, 1)
         best = share.argmax(axis=0)
@@ -148,9 +150,9 @@ def fit(labelled: DataFrame, per_language: int = 3000, grams_each: int = 12000,
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in sorted(set(langs)):
-                grams, _, _ = ngrams([t for x, t in zip(langs, texts) if x == name])
-                values, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                for grams, _, _ in ngrams([t for x, t in zip(langs, texts) if x == name]):
+                    values, n = np.unique(grams, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -161,18 +163,21 @@ def fit(labelled: DataFrame, per_language: int = 3000, grams_each: int = 12000,
 
 
 def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``, in one pass."""
+    """``_row`` (the columns ``keep``), ``_lang`` and ``_score`` of every row, in one pass."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(F.col("text").alias("_text"), F.struct(*keep).alias("_row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    inside = "text" in keep
+    inner = docs.select(row.alias("_row")) if inside else docs.select(row.alias("_row"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.score(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["_row", "lang_pred", "score"])
+            texts = batch.column(0).field("text") if inside else batch.column(1)
+            names, scores = shared.value.score(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["_row", "_lang", "_score"])
 
     kind = inner.schema["_row"].dataType.simpleString()
-    return inner.mapInArrow(run, f"_row {kind}, lang_pred string, score double").select("_row.*", "lang_pred", "score")
+    return inner.mapInArrow(run, f"_row {kind}, _lang string, _score double")
 
 
 def held_out(doc_id=None, parts: int = 3, part: int = 1):
@@ -184,12 +189,12 @@ def held_out(doc_id=None, parts: int = 3, part: int = 1):
 def identify(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row, learned from the rows not held out."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), **options)
-    return predict(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    doc_id = F.col("_row.doc_id")
+    return predict(docs, model, ["doc_id"]).select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.25, **options) -> DataFrame:
     """The rows whose language is known and fills at least ``least`` of the text; a null ``lang`` gets the predicted one."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"), **options)
-    told = docs.select(F.struct(*docs.columns).alias("_kept"), "text")
-    kept = predict(told, model, ["_kept"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.coalesce("_kept.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_kept.`{c}`").alias(c) for c in docs.columns])
+    kept = predict(docs, model, docs.columns).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
+    return kept.select(*[F.coalesce("_row.lang", "_lang").alias(c) if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

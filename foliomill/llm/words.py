@@ -127,5 +127,6 @@ def slices(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[tuple[int, l
 
 
 def bounded_batches(spark) -> None:
-    """Let Arrow batches hold few enough rows that long texts fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Let Arrow batches hold few enough rows and bytes that long texts fit a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
