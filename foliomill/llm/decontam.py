@@ -31,7 +31,7 @@ from .words import PLAIN, bounded_batches, encode, gram_hashes, slices, tokenize
 
 GRAM, LEAST_WORDS, SEGMENT = 3, 5, 512
 MATCH, MISMATCH, GAP = 2, -1, -1
-NEAR = 8
+NEAR, SPAN = 8, 1024
 _SLOTS = 1 << 20
 
 LEAKS = "item_id long, similarity double, matched_words int, first_word long, last_word long"
@@ -147,14 +147,17 @@ class SeedIndex:
                 if t - h + 1 < (2 if self.seeds[part[h]] > 12 else 1):
                     continue
                 pad = len(item) // 4 + 4
-                low = max(int(words.first[doc[h]]), int(diagonal[h]) - pad)
-                high = min(int(words.first[doc[h] + 1]), int(diagonal[t]) + len(item) + pad)
-                score, same, a, b = align(item, hashes[low:high])
-                similarity = score / (MATCH * len(item))
-                if similarity >= least and same >= min(8, len(item)):
-                    key, origin = (int(doc[h]), item_id), int(words.first[doc[h]])
-                    found = (item_id, similarity, same, low + a - origin, low + b - origin)
-                    best[key] = max(best.get(key, found), found, key=lambda x: (x[1], -x[3]))
+                origin, beyond = int(words.first[doc[h]]), int(words.first[doc[h] + 1])
+                while h <= t:  # a long run of diagonals is aligned in windows of bounded span
+                    last = min(t, h - 1 + int(np.searchsorted(diagonal[h : t + 1], diagonal[h] + SPAN, side="right")))
+                    low, high = max(origin, int(diagonal[h]) - pad), min(beyond, int(diagonal[last]) + len(item) + pad)
+                    score, same, a, b = align(item, hashes[low:high])
+                    similarity = score / (MATCH * len(item))
+                    if similarity >= least and same >= min(8, len(item)):
+                        found = (item_id, similarity, same, low + a - origin, low + b - origin)
+                        key = (int(doc[t]), item_id)
+                        best[key] = max(best.get(key, found), found, key=lambda x: (x[1], -x[3]))
+                    h = last + 1
             for (d, _), found in sorted(best.items()):
                 out[base + d].append(found)
         return out
@@ -223,12 +226,12 @@ def drop_leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, **options)
     spark, out = docs.sparkSession, docs
     for index in indexes(docs, items, **options):
         shared = spark.sparkContext.broadcast(index)
-        inner = out.select(F.col("text").alias("_text"), F.struct(*out.columns).alias("_row"))
+        inner = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("_row"))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = pa.array([not x for x in shared.value.leaks(batch.column(0).to_pylist(), least)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(1).filter(clean)], names=["_row"])
+                found = shared.value.leaks(batch.column(0).field("text").to_pylist(), least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array([not x for x in found], pa.bool_()))], names=["_row"])
 
         out = inner.mapInArrow(run, f"_row {inner.schema['_row'].dataType.simpleString()}").select("_row.*")
     return out

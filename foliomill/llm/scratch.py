@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="foliomill-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark._foliomill_scratch = root
     return f"{root.rstrip('/')}/foliomill/{spark.sparkContext.applicationId}"
 
