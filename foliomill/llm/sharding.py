@@ -116,5 +116,7 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 8, group: Column | N
         fill = fill if s == shards - 1 else F.when(F.col("before") < at + quota[s] - held[s], F.lit(s)).otherwise(fill)
     settled = pool.select(*slim_columns, fill.cast("int").alias("shard"), "linked").union(placed.where("stays").select(*slim_columns, "shard", F.lit(True)))
     settled = materialize(settled)
-    out = with_before(settled, ["shard"], "order", ["doc_id", "text_crc32"], F.lit(1), bits, "slot")
+    # A hash of its own: the pool was dealt out in the first one's order, so there each shard has few buckets.
+    settled = settled.withColumn("place", F.xxhash64("order", F.lit(5)))
+    out = with_before(settled, ["shard"], "place", ["doc_id", "text_crc32"], F.lit(1), bits, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
