@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .normalize import fold_accents
+from .normalize import fold_accents, once
 
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -38,7 +38,7 @@ def paragraphs(text: Column) -> Column:
     """Trimmed lines with single blanks, without empty and consecutive equal ones."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s{2,}", " "))
     lines = F.filter(lines, lambda x: x != "")
-    return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+    return once(lines, lambda own: F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1))))
 
 
 def explode_paragraphs(docs: DataFrame) -> DataFrame:
