@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of the test items are the seeds. Their occurrences are counted over the
-whole corpus; an item's seeds are those n-grams that aren't far more frequent than its
-median one, so at least half of them stay however often the item was copied. A row-local
-pass joins each document's n-grams to the seeds, gathers hits on neighbouring diagonals and
-aligns the passage around them with the item; the alignment decides, so edited and
-paraphrased copies count. No document is shuffled.
+All word n-grams of the test items are seeds, however often they occur: those that survive
+in an item's edited copies are the frequent ones if there are many copies. A row-local pass
+joins each document's n-grams to the seeds, gathers hits on neighbouring diagonals and aligns
+the passage around them with the item, unless the two share too few words for any alignment
+to count; the alignment decides, so edited and paraphrased copies count. No document is
+shuffled.
 
 The test items are the stated query set. They reach the executors in blocks of at most
 ``block_bytes`` of text, one pass over the documents for each block, so what is broadcast is
@@ -75,7 +75,6 @@ class SeedIndex:
     part: np.ndarray
     place: np.ndarray
     slots: np.ndarray = field(default=None)
-    seeds: np.ndarray = field(default=None)
 
     @staticmethod
     def build(items: list[tuple[int, str]]) -> SeedIndex:
@@ -99,20 +98,8 @@ class SeedIndex:
     def _with_slots(self) -> SeedIndex:
         self.slots = np.zeros(_SLOTS, dtype=bool)
         self.slots[(self.hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-        self.seeds = np.bincount(self.part, minlength=len(self.items))
         return self
 
-    def rare(self, counts: np.ndarray, times: float = 4.0, extra: int = 8) -> SeedIndex:
-        """Without the n-grams that are far more frequent than the median one of their item."""
-        n = np.repeat(counts, np.diff(self.begin))
-        keep = np.zeros(len(n), dtype=bool)
-        order = np.argsort(self.part, kind="stable")
-        for own in np.split(order, np.cumsum(self.seeds)[:-1]):
-            if len(own):
-                keep[own] = n[own] <= times * np.median(n[own]) + extra
-        hashes = np.repeat(self.hashes, np.diff(self.begin))
-        return SeedIndex(self.items, *self._sorted(hashes[keep], self.part[keep], self.place[keep]))._with_slots()
-
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the grams that are seeds, and which seed each one is."""
         at = np.flatnonzero(self.slots[(grams & np.uint64(_SLOTS - 1)).astype(np.int64)])
@@ -144,62 +131,39 @@ class SeedIndex:
             best: dict[tuple[int, int], tuple] = {}
             for h, t in zip(heads.tolist(), tails.tolist()):
                 item_id, item = self.items[part[h]]
-                if t - h + 1 < (2 if self.seeds[part[h]] > 12 else 1):
-                    continue
                 pad = len(item) // 4 + 4
                 origin, beyond = int(words.first[doc[h]]), int(words.first[doc[h] + 1])
                 while h <= t:  # a long run of diagonals is aligned in windows of bounded span
                     last = min(t, h - 1 + int(np.searchsorted(diagonal[h : t + 1], diagonal[h] + SPAN, side="right")))
                     low, high = max(origin, int(diagonal[h]) - pad), min(beyond, int(diagonal[last]) + len(item) + pad)
+                    h = last + 1
+                    # No alignment has more equal words than the item has words of the passage.
+                    common = np.count_nonzero(np.isin(item, hashes[low:high]))
+                    if MATCH * common < least * MATCH * len(item) or common < min(8, len(item)):
+                        continue
                     score, same, a, b = align(item, hashes[low:high])
                     similarity = score / (MATCH * len(item))
                     if similarity >= least and same >= min(8, len(item)):
                         found = (item_id, similarity, same, low + a - origin, low + b - origin)
                         key = (int(doc[t]), item_id)
                         best[key] = max(best.get(key, found), found, key=lambda x: (x[1], -x[3]))
-                    h = last + 1
             for (d, _), found in sorted(best.items()):
                 out[base + d].append(found)
         return out
 
 
-def seed_counts(docs: DataFrame, index: SeedIndex) -> np.ndarray:
-    """Occurrences of each seed in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(len(shared.value.hashes), dtype=np.int64)
-            for _, chunk in slices(_low(t.as_py()) for t in batch.column(0)):
-                words = tokenize(chunk, PLAIN)
-                _, seed = shared.value.hits(gram_hashes(word_hashes(words), words.doc, GRAM)[0])
-                total += np.bincount(seed, minlength=len(total))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["seed", "n"])
-
-    counts = np.zeros(len(index.hashes), dtype=np.int64)
-    rows = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-    counts[rows.seed.to_numpy(dtype=np.int64)] = rows.n
-    return counts
-
-
 def indexes(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20) -> Iterator[SeedIndex]:
-    """Rare-seed indexes of the items (item_id, text), a bounded block at a time."""
+    """Seed indexes of the items (item_id, text), a bounded block at a time."""
     bounded_batches(docs.sparkSession)
     held, size = [], 0
     for row in items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
         if held and size + len(row["text"]) > block_bytes:
-            yield _rare(docs, held)
+            yield SeedIndex.build(held)
             held, size = [], 0
         held.append((row["item_id"], row["text"]))
         size += len(row["text"])
     if held:
-        yield _rare(docs, held)
-
-
-def _rare(docs: DataFrame, held: list[tuple[int, str]]) -> SeedIndex:
-    index = SeedIndex.build(held)
-    return index.rare(seed_counts(docs, index))
+        yield SeedIndex.build(held)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, **options) -> DataFrame:

@@ -167,6 +167,15 @@ def test_edited_copies_are_found_and_clean_documents_left(spark, tables):
     assert clean == holds
 
 
+def test_an_edited_copy_is_found_however_often_it_occurs(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(item))
+    docs = spark.createDataFrame([(k, f"before{k} {edited} after{k}") for k in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.find_leaks(docs, items).collect()} == set(range(50))
+    assert decontam.drop_leaks(docs, items).count() == 0
+
+
 def test_alignment_score_is_smith_waterman():
     r = random.Random(4)
     for _ in range(30):
