@@ -11,8 +11,12 @@ The test items are the stated query set. They reach the executors in blocks of a
 ``block_bytes`` of text, one pass over the documents for each block, so what is broadcast is
 bounded whatever the size of the benchmark.
 
-Defined results: null and empty texts match nothing; items of fewer than ``LEAST_WORDS``
-words are too short to tell and are not sought; items longer than ``SEGMENT`` words are
+A match is an alignment with ``least`` of the item's best score and enough equal words
+(``least_equal``), or, whatever the item's length, one with a score of ``LONG_SCORE`` or a
+passage with ``LONG_RUN`` equal words in a row. Items of ``SHORT`` words at most are seeded
+with pairs of words, and those of fewer than ``EDITABLE`` words only match unedited.
+
+Defined results: null and empty texts match nothing; items longer than ``SEGMENT`` words are
 sought in segments; a (row, item) pair is returned once, with its best alignment, and
 repeated rows once each; an empty benchmark leaves every document clean.
 """
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .words import PLAIN, bounded_batches, encode, gram_hashes, slices, tokenize, word_hashes
 
-GRAM, LEAST_WORDS, SEGMENT = 3, 5, 512
+GRAM, EDITABLE, SHORT, SEGMENT = 3, 5, 8, 512
+LONG_RUN, LONG_SCORE = 13, 80
 MATCH, MISMATCH, GAP = 2, -1, -1
 NEAR, SPAN = 8, 1024
 _SLOTS = 1 << 20
@@ -41,6 +46,16 @@ def _low(text: str | None) -> bytes:
     return encode((text or "").lower())
 
 
+def gram_size(n: int) -> int:
+    """Words in a seed of an item of ``n`` words."""
+    return n if n < EDITABLE else GRAM - 1 if n <= SHORT else GRAM
+
+
+def least_equal(n: int) -> int:
+    """Equal words that a match of an item of ``n`` words has at least."""
+    return n if n < EDITABLE else -(-3 * n // 4) if n <= SHORT else min(8, n)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
     """Best local alignment: score, equal words, first and last word in the passage."""
     m, n = len(item), len(passage)
@@ -81,9 +96,9 @@ class SeedIndex:
         parts = []
         for item_id, text in items:
             h = word_hashes(tokenize([_low(text)], PLAIN))
-            if len(h) >= LEAST_WORDS:
+            if len(h):
                 parts += [(item_id, h[at : at + SEGMENT]) for at in range(0, max(1, len(h) - SEGMENT // 2), SEGMENT // 2)]
-        grams = [gram_hashes(h, np.zeros(len(h), dtype=np.int64), GRAM)[0] for _, h in parts]
+        grams = [gram_hashes(h, np.zeros(len(h), dtype=np.int64), gram_size(len(h)))[0] for _, h in parts]
         every = np.concatenate([*grams, np.zeros(0, dtype=np.uint64)])
         part = np.repeat(np.arange(len(parts)), [len(g) for g in grams]) if parts else np.zeros(0, dtype=np.int64)
         place = np.concatenate([np.arange(len(g)) for g in grams]) if parts else np.zeros(0, dtype=np.int64)
@@ -114,36 +129,47 @@ class SeedIndex:
         for base, chunk in slices(map(_low, texts)):
             words = tokenize(chunk, PLAIN)
             hashes = word_hashes(words)
-            grams, first = gram_hashes(hashes, words.doc, GRAM)
-            at, seed = self.hits(grams)
-            if not len(at):
+            found = []
+            for size in sorted({gram_size(len(h)) for _, h in self.items}):
+                grams, start = gram_hashes(hashes, words.doc, size)
+                at, own = self.hits(grams)
+                found.append((start[at], own))
+            first, seed = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+            if not len(seed):
                 continue
             n = np.diff(self.begin)[seed]
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[seed], n)
-            word = np.repeat(first[at], n)
+            word = np.repeat(first, n)
             doc, part = words.doc[word], self.part[place]
             diagonal = word - self.place[place]
-            order = np.lexsort((diagonal, part, doc))
-            doc, part, diagonal = doc[order], part[order], diagonal[order]
+            order = np.lexsort((word, diagonal, part, doc))
+            doc, part, diagonal, word = doc[order], part[order], diagonal[order], word[order]
+            # Seeds of consecutive words on one diagonal are a run of equal words.
+            ahead = LONG_RUN - GRAM
+            run = np.zeros(len(doc), dtype=bool)
+            if len(doc) > ahead:
+                run[:-ahead] = (doc[ahead:] == doc[:-ahead]) & (part[ahead:] == part[:-ahead]) & (diagonal[ahead:] == diagonal[:-ahead]) & (word[ahead:] - word[:-ahead] == ahead)
             fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (diagonal[1:] - diagonal[:-1] > NEAR)])
             heads = np.flatnonzero(fresh)
             tails = np.append(heads[1:], len(doc)) - 1
             best: dict[tuple[int, int], tuple] = {}
             for h, t in zip(heads.tolist(), tails.tolist()):
                 item_id, item = self.items[part[h]]
+                equal = least_equal(len(item))
                 pad = len(item) // 4 + 4
                 origin, beyond = int(words.first[doc[h]]), int(words.first[doc[h] + 1])
                 while h <= t:  # a long run of diagonals is aligned in windows of bounded span
                     last = min(t, h - 1 + int(np.searchsorted(diagonal[h : t + 1], diagonal[h] + SPAN, side="right")))
                     low, high = max(origin, int(diagonal[h]) - pad), min(beyond, int(diagonal[last]) + len(item) + pad)
+                    long = bool(run[h : last + 1].any())
                     h = last + 1
                     # No alignment has more equal words than the item has words of the passage.
                     common = np.count_nonzero(np.isin(item, hashes[low:high]))
-                    if MATCH * common < least * MATCH * len(item) or common < min(8, len(item)):
+                    if not long and (MATCH * common < min(least * MATCH * len(item), LONG_SCORE) or common < equal):
                         continue
                     score, same, a, b = align(item, hashes[low:high])
                     similarity = score / (MATCH * len(item))
-                    if similarity >= least and same >= min(8, len(item)):
+                    if long or score >= LONG_SCORE or (similarity >= least and same >= equal):
                         found = (item_id, similarity, same, low + a - origin, low + b - origin)
                         key = (int(doc[t]), item_id)
                         best[key] = max(best.get(key, found), found, key=lambda x: (x[1], -x[3]))

@@ -176,6 +176,30 @@ def test_an_edited_copy_is_found_however_often_it_occurs(spark):
     assert decontam.drop_leaks(docs, items).count() == 0
 
 
+@pytest.mark.parametrize(
+    "n, copied, found",
+    [
+        (200, [*range(50, 120)], True),
+        (59, [*range(10, 30)], True),
+        (600, [*range(300, 360)], True),
+        (600, [i for i in range(200, 280) if i % 6], True),
+        (200, [*range(50, 62)], False),
+        (5, [0, 1, 3, 4], True),
+        (8, [0, 1, 3, 4, 6, 7], True),
+        (8, [0, 1, 4, 5], False),
+        (4, [0, 1, 2, 3], True),
+        (4, [0, 1, 3], False),
+        (2, [0, 1], True),
+        (1, [0], True),
+    ],
+)
+def test_passages_and_short_items_are_found(n, copied, found):
+    index = decontam.SeedIndex.build([(1, " ".join(f"w{i}" for i in range(n)))])
+    passage = " ".join(f"w{i}" if i in copied else "other" for i in range(copied[0], copied[-1] + 1))
+    (got,) = index.leaks([f"some words before {passage} and some after"], 0.4)
+    assert [x[0] for x in got] == [1] * found
+
+
 def test_alignment_score_is_smith_waterman():
     r = random.Random(4)
     for _ in range(30):
