@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import decontam, langid, mixing, sharding, simhash
+from foliomill.llm import decontam, langid, mixing, sharding, shingles, simhash
 from foliomill.llm.scratch import materialize
 
 
@@ -18,8 +18,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates (operator 2)."""
-    return simhash.keep_one(docs)
+    """The first document of each group of near duplicates.
+
+    First those of equal or nearly equal fingerprints go (operator 2 with its own limits), then
+    of what is left those whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    return shingles.keep_one(materialize(simhash.keep_one(docs)))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliomill.llm import decontam, langid, license_scan, mixing, queries, sharding, simhash, warc, words
+from foliomill.llm import decontam, langid, license_scan, mixing, queries, sharding, shingles, simhash, warc, words
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -117,6 +117,30 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["root"]) for r in simhash.components(df).collect()} == {(i, 0) for i in range(n)}
 
 
+def test_near_duplicates_stage_against_all_pairs(spark):
+    r = random.Random(6)
+    rows = []
+    for n, changes in ((60, 1), (60, 3), (150, 1), (150, 4), (1000, 10), (1000, 60)):
+        for _ in range(12):
+            first = [f"w{r.randrange(5000)}" for _ in range(n)]
+            for _ in range(3):
+                second = list(first)
+                for at in r.sample(range(n), changes):
+                    second[at] = "changed"
+                rows.append(" ".join(second))
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    rows = [rows[i] for i in order]
+    docs = spark.createDataFrame([*enumerate(rows), (1000, "two words"), (1001, "two words")], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = {i for i, c in union_find(pairs, range(len(sets))).items() if i == c} | {1000}
+    assert {x["doc_id"] for x in shingles.keep_one(docs).collect()} == expected
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept <= expected and not any(i in kept and j in kept for i, j in pairs)
+    assert len({x["doc_id"] for x in simhash.keep_one(docs).collect()}) > len(expected) + 20
+
+
 # --- operator 3 ------------------------------------------------------------------------------
 
 
