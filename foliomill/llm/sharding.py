@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation under capacity quotas.
 
 Documents of equal text are linked. A group is a hub with its members' labels (shards) as
-counts, so its members see their neighbours' shards without a row for each pair; a group
-larger than a shard's capacity is several hubs. Each round joins every hub that is not yet
+counts, so its members see their neighbours' shards without a row for each pair. The few
+groups of ``LARGE`` of a shard or more are dealt out beforehand: whole to a shard with room,
+or to the fewest shards if there is none. Each round joins every hub that is not yet
 in one shard with the label that most of its members have, adds up the flows between shards,
 lets the driver find the largest quotas (a table of shards x shards x 64) under which no
 shard exceeds its capacity, and moves the hubs within them. Documents without links then
@@ -26,6 +27,8 @@ from .ranks import bits_for, with_before
 from .scratch import discard, materialize
 
 QUOTA_STEPS = 64
+#: Share of a shard's capacity from which a group is placed before the propagation.
+LARGE = 0.4
 
 
 def quotas(load: list[int], capacity: int, flows: dict[tuple[int, int, int], int], shards: int) -> list[int]:
@@ -55,6 +58,27 @@ def quotas(load: list[int], capacity: int, flows: dict[tuple[int, int, int], int
             now[j] -= n
 
 
+def pack(groups: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """``(group, first, last, shard)``: the places of each group (group, members) by shard.
+
+    Largest first; each goes whole to the fullest shard with room for it, else fills the
+    emptiest one and goes on with the rest. ``room`` is brought up to date.
+    """
+    out = []
+    for group, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        at = 0
+        while at < n:
+            fits = [s for s in range(len(room)) if room[s] >= n - at]
+            s = min(fits, key=lambda s: room[s]) if fits else max(range(len(room)), key=lambda s: room[s])
+            took = min(room[s], n - at)
+            if not took:
+                break
+            out.append((group, at, at + took, s))
+            room[s] -= took
+            at += took
+    return out
+
+
 def propagate(hubs: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
     """``unit, shard`` of the hubs whose members end up in one shard; ``hubs`` is unit, shard, n."""
     hubs = materialize(hubs)
@@ -92,16 +116,32 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 8, group: Column | N
     capacity, bits = max(1, total // shards), bits_for(total)
     # Written first, so that the join deals both sides anew and can split a hot group's partition.
     many = materialize(slim.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.ceil(F.col("members") / F.lit(max(1.0, 0.4 * capacity))))
-    told = slim.join(many, "group", "left").select("doc_id", "size", "text_crc32", "order", F.when(F.col("members").isNotNull(), F.xxhash64("group", part)).alias("unit"), F.pmod("order", F.lit(shards)).cast("int").alias("start"))
+    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    spark, room = docs.sparkSession, list(quota)
+    plan = pack([(r["group"], r["members"]) for r in many.where(F.col("members") >= max(2.0, LARGE * capacity)).collect()], room)
+    # The others start where the large groups leave room, in proportion to it.
+    deal = [s for s in range(shards) for _ in range(round(256 * room[s] / max(1, sum(room))))] if plan else []
+    start = F.array(*[F.lit(s) for s in deal])[F.pmod("order", F.lit(len(deal))).cast("int")] if deal else F.pmod("order", F.lit(shards)).cast("int")
+    told = slim.join(many, "group", "left").select("doc_id", "size", "text_crc32", "order", "group", F.col("members").isNotNull().alias("linked"), start.alias("start"))
+    columns = ["doc_id", "size", "text_crc32", "order", "unit", "start", "planned"]
+    unit = F.when(F.col("linked"), F.xxhash64("group")).alias("unit")
+    if plan:
+        # At most shards / LARGE groups and as many places as that and the shards together.
+        placing = F.broadcast(spark.createDataFrame(plan, "group long, begin long, until long, to int"))
+        large = F.broadcast(spark.createDataFrame(sorted({(p[0],) for p in plan}), "group long"))
+        ranked = with_before(told.join(large, "group", "left_semi"), ["group"], "order", ["doc_id", "text_crc32"], F.lit(1), bits)
+        ranked = ranked.join(placing.withColumnRenamed("group", "_group"), (F.col("group") == F.col("_group")) & (F.col("before") >= F.col("begin")) & (F.col("before") < F.col("until")))
+        ranked = ranked.select("doc_id", "size", "text_crc32", "order", F.xxhash64("group", "to").alias("unit"), F.col("to").alias("start"), F.lit(True).alias("planned"))
+        told = told.join(large, "group", "left_anti").select(*columns[:4], unit, "start", F.lit(False).alias("planned")).union(ranked)
+    else:
+        told = told.select(*columns[:4], unit, "start", F.lit(False).alias("planned"))
     told = materialize(told)
     linked = told.where("unit is not null")
     whole = propagate(linked.groupBy("unit", F.col("start").alias("shard")).agg(F.count("*").alias("n")), shards, capacity, rounds)
-    # Members of split hubs come last in their shard's order, and leave it first if it is overfull.
+    # Members of large groups come first and those of split hubs last in their shard's order, and leave it first if it is overfull.
     placed = linked.join(whole, "unit", "left").withColumn("shard", F.coalesce("whole", "start"))
-    late = F.shiftrightunsigned("order", 1).bitwiseOR(F.when(F.col("whole").isNull(), F.lit(-(1 << 63))).otherwise(F.lit(0)))
+    late = F.shiftrightunsigned("order", 2).bitwiseOR(F.when(F.col("planned"), F.lit(0)).when(F.col("whole").isNull(), F.lit(-(1 << 63))).otherwise(F.lit(1 << 62)))
     placed = materialize(placed.select("doc_id", "size", "text_crc32", "order", "shard", late.alias("late")))
-    quota = [total // shards + (s < total % shards) for s in range(shards)]
     placed = with_before(placed, ["shard"], "late", ["doc_id", "text_crc32"], F.lit(1), bits)
     placed = materialize(placed.withColumn("stays", F.col("before") < F.array(*[F.lit(x) for x in quota])[F.col("shard")]).drop("late", "before"))
     held = [0] * shards

@@ -162,6 +162,17 @@ def test_small_groups_stay_together_when_there_is_room(spark):
     assert (parts > 1).sum() == 0
 
 
+def test_large_groups_take_the_fewest_shards(spark):
+    sizes = {"a": 530, "b": 100, "c": 90, "d": 70, "e": 45}
+    texts = [t for t, n in sizes.items() for _ in range(n)]
+    texts += [f"s{i}" for i in range(1600 - len(texts))]
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    got["text"] = [texts[i] for i in got.doc_id]
+    assert set(got.groupby("shard").size()) == {100}
+    parts = got.groupby("text").shard.nunique()
+    assert {t: int(parts[t]) for t in sizes} == {"a": 6, "b": 1, "c": 1, "d": 1, "e": 1}
+
+
 # --- operator 4 ------------------------------------------------------------------------------
 
 
