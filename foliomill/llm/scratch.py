@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -46,3 +47,28 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is one file scan, with nothing but projections and filters over it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``_row`` (a struct of all columns of ``df``), ``_file`` and ``_at``, which tell any two rows apart.
+
+    Rows of a Parquet scan are named by a hash of their file and by their place in it, so they
+    have the same names in each plan that reads them; any other DataFrame is written first.
+    """
+    table = df if _is_scan(df) else materialize(df)
+    place = table.metadataColumn("_metadata")
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    return table.select(row.alias("_row"), F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_at"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The columns of the rows of :func:`numbered` whose names aren't in ``gone`` (_file, _at)."""
+    return rows.join(gone, ["_file", "_at"], "left_anti").select("_row.*")

@@ -1,28 +1,34 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints are made row by row. Distinct fingerprints are dealt to cells by one of five
-bit bands (two values that differ in at most four bits agree in one band), each cell sorts
-its members by Gray rank and builds a hierarchy over them: a node holds the bits that all
-its members share, with the bits already held by its parent taken out. A search adds up the
-differing bits on the way down and drops a whole subtree as soon as they exceed the limit.
-A cell returns a spanning forest of its links, never all pairs; components are then found
-by alternating star contractions on Spark.
+Fingerprints are made row by row. The top of the hierarchies are masked bit patterns: the 64
+bits are cut into ``limit`` + j blocks, and two values that differ in at most ``limit`` bits
+agree in some j of them. Distinct fingerprints are dealt to the cells of these patterns; j
+grows with the logarithm of their number, so that a cell stays small and a fingerprint goes
+to 5, 15 or 35 cells, not to a number that follows the corpus. Each cell sorts its members by
+Gray rank and builds the lower nodes: a node holds the bits that all its members share, with
+the bits already held by its parent taken out. A search adds up the differing bits on the way
+down and drops a whole subtree as soon as they exceed the limit. A cell returns a spanning
+forest of its links, never all pairs; components are then found by alternating star
+contractions on Spark.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and
 is linked like any other; rows that repeat a doc_id are one document for components (each
 row is returned); a null doc_id never is a component's name unless no member has an id.
+``keep_one`` looks at rows and not at ids: one row of each group of alike texts stays, that of
+the smallest doc_id (rows without one come last), whether or not ids are null or repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, materialize
+from .scratch import discard, materialize, numbered, without
 from .words import LOWER, bounded_batches, encode
 
 BITS = 64
@@ -51,15 +57,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row."""
+    """The columns of ``docs`` but for ``text``, which gives way to ``fp`` (the fingerprint as a signed long)."""
     bounded_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.array([fingerprint(t.as_py(), width) for t in batch.column(len(kept))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values.view(np.int64))], names=[*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*kept, "text")
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text") + ", fp long")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -152,21 +160,37 @@ def forest(cell: np.ndarray, values: np.ndarray, limit: int) -> tuple[np.ndarray
     return values[moved], values[parent[moved]]
 
 
-def links(fps: DataFrame, limit: int = 4, cell_most: int = 8192) -> DataFrame:
+def patterns(limit: int, agreeing: int) -> list[int]:
+    """Masks such that two values within ``limit`` bits are equal under one of them, as signed longs."""
+    blocks = limit + agreeing
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    block = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(blocks)]
+    masks = [sum(x) for x in combinations(block, agreeing)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def agreeing_blocks(fingerprints: int, limit: int, cell_most: int) -> int:
+    """Fewest blocks that must agree so that an average cell has at most ``cell_most`` of so many fingerprints."""
+    j = 1
+    while fingerprints >> (BITS * j // (limit + j)) > cell_most and j < 8:
+        j += 1
+    return j
+
+
+def links(fps: DataFrame, limit: int = 4, cell_most: int = 8192, agreeing: int | None = None) -> DataFrame:
     """``a, b``: a spanning set of the links between distinct fingerprints ``fp``.
 
-    A band value shared by more than ``cell_most`` fingerprints is dealt out by hash to the
+    A pattern shared by more than ``cell_most`` fingerprints is dealt out by hash to the
     cells of a triangle, so that each pair still meets in one cell of bounded size.
     """
-    bands = limit + 1
-    cuts = [BITS * i // bands for i in range(bands + 1)]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1).alias("key")) for i in range(bands)]))
-    dealt = fps.select("fp", each.alias("e")).select("fp", "e.band", "e.key")
-    hot = dealt.groupBy("band", "key").count().where(F.col("count") > cell_most).select("band", "key", F.ceil(F.col("count") / cell_most).cast("int").alias("parts"))
+    masks = patterns(limit, agreeing or agreeing_blocks(fps.count(), limit, cell_most))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(m).alias("key")) for i, m in enumerate(masks)]))
+    dealt = fps.select("fp", each.alias("e")).select("fp", "e.mask", "e.key")
+    hot = dealt.groupBy("mask", "key").count().where(F.col("count") > cell_most).select("mask", "key", F.ceil(F.col("count") / cell_most).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = dealt.join(hot, ["band", "key"], "left").select("fp", "band", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit("")))
+    cells = dealt.join(hot, ["mask", "key"], "left").select("fp", "mask", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit("")))
         .otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda j: F.concat_ws("/", F.least(part, j), F.greatest(part, j))))).alias("sub"))
-    cells = cells.select("fp", F.xxhash64("band", "key", "sub").alias("cell"))
+    cells = cells.select("fp", F.xxhash64("mask", "key", "sub").alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_c, held_v, size = [], [], 0
@@ -195,17 +219,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): alternating large-star and small-star.
 
     Each round is a handful of joins and aggregations with map-side combine, written to the
-    shared folder; rounds grow with the logarithm of the longest chain.
+    shared folder; rounds grow with the logarithm of the longest chain. The smallest neighbours
+    are written before they are joined, so that a hub's edges can be split over tasks.
     """
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")))
         moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(least.select("a", F.col("m").alias("b")))
 
@@ -225,19 +250,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4, cell_most: int = 8192) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (doc_id, text)."""
-    rows = materialize(fingerprints(docs, width))
+    rows = materialize(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), width))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # Rows that repeat a doc_id with other texts are one document: its fingerprints are linked.
     split = rows.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("doc_id is not null and a <> b").select("doc_id", "a")
     same = rows.join(split, "doc_id").select("a", F.col("fp").alias("b"))
-    parts = materialize(components(links(classes.select("fp"), limit, cell_most).union(same)))
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(_named(classes, components(links(classes.select("fp"), limit, cell_most).union(same))))
+    names = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")))
     members = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     return rows.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that aren't their component's first one."""
-    drop = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+def _named(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``classes`` with the ``root`` of each fingerprint's component."""
+    return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def first_row() -> Column:
+    """Order in which one of alike rows is chosen: by doc_id, then by place."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_file", "_at"))
+
+
+def keep_one(docs: DataFrame, width: int = 4, limit: int = 4, cell_most: int = 8192) -> DataFrame:
+    """``docs`` without the rows that aren't their component's first one."""
+    every = numbered(docs)
+    rows = materialize(fingerprints(every.select("_file", "_at", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text")), width))
+    classes = materialize(rows.groupBy("fp").agg(first_row().alias("least")))
+    named = _named(classes, components(links(classes.select("fp"), limit, cell_most)))
+    stays = named.groupBy("root").agg(F.min("least").alias("least")).select("least._file", "least._at")
+    return without(every, materialize(rows.select("_file", "_at").join(stays, ["_file", "_at"], "left_anti")))
