@@ -7,13 +7,17 @@ only what the siblings can't take either is handed up and spread over the next l
 leaf then takes whole epochs and, of the next one, the documents of a seeded order up to its
 remaining tokens.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+``. The tree is a small table on the driver, one row a
-leaf (its size is checked). A leaf's order is a hash of seed, epoch and doc_id; its prefix is
-found from sums over hash buckets, so a leaf that holds a third of all rows is no single task.
+Tokens are words ``[^\\x20\\x09-\\x0D]+``. Only the upper levels (domains and their languages)
+are on the driver. Leaves, as many as there are sources, stay on Spark: a node's tokens fill
+its leaves up to one level per weight, which prefix sums over the leaves in the order of
+their supply per weight tell. A leaf's order of documents is a hash of seed, epoch, doc_id and
+text; its prefix is found from sums over hash buckets, so neither a leaf that holds a third of
+all rows nor a node with most of the leaves is a single task.
 
 Defined results: null, empty and wordless texts have no tokens and aren't selected; a null
 language or source is a leaf of its own (``und``, ``none``); unlisted nodes weigh
-``other_weight``; repeated rows are ordered next to each other and each count.
+``other_weight``; repeated rows are ordered next to each other and each count. Rows are
+selected as rows, so a null or repeated doc_id neither loses nor adds any.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import bits_for, with_before
-from .scratch import materialize
+from .scratch import materialize, numbered
 
-LEVELS = ["domain", "language", "branch"]
-#: Leaves that the driver accepts.
-MOST_LEAVES = 1_000_000
+NODE, LEVELS = ["domain", "language"], ["domain", "language", "branch"]
+#: Leaves that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LEAVES = 10_000
 
 
 def default_domain() -> Column:
@@ -44,9 +48,11 @@ class Weights:
     children: dict[tuple[str, ...], dict[str, float]] = field(default_factory=dict)
     other_weight: float = 1.0
 
+    def named(self, parent: tuple[str, ...]) -> dict[str, float]:
+        return self.children.get(parent) or self.children.get(("*",) * len(parent)) or {}
+
     def of(self, parent: tuple[str, ...], name: str) -> float:
-        named = self.children.get(parent) or self.children.get(("*",) * len(parent)) or {}
-        return max(0.0, float(named.get(name, self.other_weight)))
+        return max(0.0, float(self.named(parent).get(name, self.other_weight)))
 
 
 #: Production weights: domains, then languages of any domain; sources weigh the same.
@@ -94,10 +100,66 @@ def budgets(supply: dict[tuple[str, ...], int], total: float, weights: Weights)
     return out
 
 
-def _leaves(docs: DataFrame, domain: Column) -> DataFrame:
-    """``docs`` with the three levels, their tokens and the hash of the text."""
+def _members(docs: DataFrame, domain: Column, kept: list[str]) -> DataFrame:
+    """The columns ``kept``, the three levels, the tokens and a hash of the text of rows with tokens."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long"), domain.alias("domain"), F.coalesce("lang", F.lit("und")).alias("language"), F.coalesce("source", F.lit("none")).alias("branch"), words.cast("long").alias("tokens"))
+    named = docs.select(*kept, F.col("doc_id").cast("long"), domain.alias("domain"), F.coalesce("lang", F.lit("und")).alias("language"), F.coalesce("source", F.lit("none")).alias("branch"), words.cast("long").alias("tokens"), F.xxhash64("text").alias("digest"))
+    return named.where("tokens > 0")
+
+
+def leaf_budgets(leaves: DataFrame, total: float, weights: Weights, epochs: int = 1) -> DataFrame:
+    """``leaves`` (the levels, tokens) with ``given``: what :func:`budgets` gives each, computed on Spark."""
+    spark = leaves.sparkSession
+    parents = [tuple(r) for r in leaves.select(*NODE).distinct().collect()]
+    named = [(*p, name, max(0.0, float(w))) for p in parents for name, w in weights.named(p).items()]
+    weight = F.lit(max(0.0, float(weights.other_weight)))
+    if named:
+        own = spark.createDataFrame(named, "domain string, language string, branch string, _own double")
+        leaves, weight = leaves.join(own, LEVELS, "left"), F.coalesce("_own", weight)
+    # Leaves that weigh nothing take, in equal parts, what all others leave.
+    leaves = leaves.withColumn("weight", weight).drop("_own").withColumn("last", F.col("weight") == 0)
+    leaves = leaves.withColumn("weight", F.when(F.col("last"), F.lit(1.0)).otherwise(F.col("weight"))).withColumn("room", F.col("tokens") * F.lit(epochs))
+    leaves = materialize(leaves.withColumn("ratio", F.col("room") / F.col("weight")))
+    sums = leaves.groupBy(*NODE, "last").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"), F.count("*").alias("n")).collect()
+    room: dict[tuple[str, ...], int] = defaultdict(int)
+    for r in sums:
+        room[r["domain"], r["language"]] += r["room"]
+    amounts = budgets(dict(room), total, weights)
+    first = {(r["domain"], r["language"]): r["room"] for r in sums if not r["last"]}
+    nodes = []
+    for r in sums:
+        key = (r["domain"], r["language"])
+        nodes.append((*key, r["last"], max(0.0, amounts[key] - first.get(key, 0)) if r["last"] else min(amounts[key], float(r["room"])), float(r["weight"])))
+    schema = "domain string, language string, last boolean, amount double, whole double"
+    keys, bits = [*NODE, "last"], bits_for(sum(r["n"] for r in sums))
+    order = leaves.withColumn("_order", (F.log2(F.col("ratio") + 1) * float(1 << 57)).cast("long"))
+    order = with_before(order, keys, "_order", ["ratio", "branch"], F.col("room"), bits, "room_before")
+    order = with_before(order, keys, "_order", ["ratio", "branch"], F.col("weight"), bits, "weight_before", "double")
+    order = order.join(F.broadcast(spark.createDataFrame(nodes, schema)) if len(nodes) <= BROADCAST_LEAVES else spark.createDataFrame(nodes, schema), keys)
+    full = F.col("room_before") + F.col("ratio") * (F.col("whole") - F.col("weight_before")) <= F.col("amount") + 1e-6
+    order = materialize(order.select(*LEVELS, "last", "tokens", "room", "weight", full.alias("full")))
+    filled = {tuple(r[k] for k in keys): (r["room"], r["weight"]) for r in order.where("full").groupBy(*keys).agg(F.sum("room").alias("room"), F.sum("weight").alias("weight")).collect()}
+    levels = []
+    for *key, amount, whole in nodes:
+        held, used = filled.get(tuple(key), (0, 0.0))
+        levels.append((*key, max(0.0, amount - held) / (whole - used) if whole - used > 1e-9 else 0.0))
+    level = spark.createDataFrame(levels, "domain string, language string, last boolean, level double")
+    order = order.join(F.broadcast(level) if len(levels) <= BROADCAST_LEAVES else level, keys)
+    return order.select(*LEVELS, "tokens", F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("room"))).alias("given"))
+
+
+def _chosen(rows: DataFrame, kept: list[str], weights: Weights, share: float, epochs: int, seed: int) -> DataFrame:
+    """The rows of :func:`_members` that are selected, with ``copies`` and ``target``."""
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
+    count, tokens, n = leaves.agg(F.count("*"), F.sum("tokens"), F.sum("n")).first()
+    given = leaf_budgets(leaves.drop("n"), share * (tokens or 0), weights, epochs)
+    whole = F.least(F.lit(epochs), F.floor((F.col("given") + 1e-6) / F.col("tokens")).cast("int"))
+    plan = given.select(*LEVELS, whole.alias("whole"), F.round(F.col("given") - whole * F.col("tokens")).cast("long").alias("rest"), F.round("given").cast("long").alias("target"))
+    plan = materialize(plan)
+    told = rows.join(F.broadcast(plan) if count <= BROADCAST_LEAVES else plan, LEVELS).withColumn("order", F.xxhash64(F.lit(seed), F.col("whole"), "doc_id", "digest"))
+    told = with_before(told, LEVELS, "order", ["doc_id", "tokens", *kept], F.col("tokens"), bits_for(n or 0))
+    copies = F.col("whole") + (F.col("before") + F.col("tokens") <= F.col("rest")).cast("int")
+    return told.withColumn("copies", copies).where("copies > 0").select(*kept, "doc_id", *LEVELS, "tokens", "copies", "target")
 
 
 def select(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epochs: int = 2, seed: int = 13, domain: Column | None = None) -> DataFrame:
@@ -106,27 +168,13 @@ def select(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epoc
     The budget is ``share`` of all tokens; a document is taken at most ``epochs`` times,
     which ``copies`` tells; ``target`` are the tokens its leaf was given.
     """
-    spark = docs.sparkSession
-    rows = materialize(_leaves(docs, default_domain() if domain is None else domain).where(F.col("tokens") > 0))
-    stats = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MOST_LEAVES + 1).collect()
-    if len(stats) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    supply = {tuple(r[x] for x in LEVELS): r["tokens"] for r in stats}
-    given = budgets({k: v * epochs for k, v in supply.items()}, share * sum(supply.values()), weights)
-    plan = []
-    for leaf, tokens in sorted(given.items()):
-        whole = min(epochs, int((tokens + 1e-6) // supply[leaf]))
-        plan.append((*leaf, whole, int(round(tokens - whole * supply[leaf])), int(round(tokens))))
-    leaves = spark.createDataFrame(plan, "domain string, language string, branch string, whole int, rest long, target long")
-    leaves = F.broadcast(leaves) if len(plan) <= 10_000 else leaves
-    told = rows.join(leaves, LEVELS).withColumn("order", F.xxhash64(F.lit(seed), F.col("whole"), "doc_id"))
-    told = with_before(told, LEVELS, "order", ["doc_id", "tokens"], F.col("tokens"), bits_for(sum(r["n"] for r in stats)))
-    copies = F.col("whole") + (F.col("before") + F.col("tokens") <= F.col("rest")).cast("int")
-    return told.withColumn("copies", copies).where("copies > 0").select("doc_id", *LEVELS, "tokens", "copies", "target")
+    rows = materialize(_members(docs, default_domain() if domain is None else domain, []))
+    return _chosen(rows, [], weights, share, epochs, seed)
 
 
-def keep_selected(docs: DataFrame, **options) -> DataFrame:
+def keep_selected(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epochs: int = 2, seed: int = 13) -> DataFrame:
     """The rows of ``docs`` that are selected, each as often as it is taken."""
-    chosen = select(docs, **options).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_times"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_key"))
-    return rows.join(chosen, "_key").select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
+    every, place = numbered(docs), ["_file", "_at"]
+    members = _members(every.select(*place, "_row.doc_id", "_row.text", "_row.lang", "_row.source"), default_domain(), place)
+    chosen = materialize(_chosen(materialize(members), place, weights, share, epochs, seed).select(*place, "copies"))
+    return every.join(chosen, place).select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

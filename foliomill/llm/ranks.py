@@ -18,7 +18,7 @@ def bits_for(rows: int) -> int:
     return min(24, max(6, (rows // BUCKET_ROWS).bit_length()))
 
 
-def with_before(df: DataFrame, keys: list[str], order: str, ties: list[str], weight: Column, bits: int, name: str = "before") -> DataFrame:
+def with_before(df: DataFrame, keys: list[str], order: str, ties: list[str], weight: Column, bits: int, name: str = "before", kind: str = "long") -> DataFrame:
     """``df`` with ``name``: the weight of all rows of the same keys that come earlier.
 
     ``order`` is a long column of hashes, compared as unsigned; equal ones go by ``ties``.
@@ -30,4 +30,4 @@ def with_before(df: DataFrame, keys: list[str], order: str, ties: list[str], wei
     # Within a bucket the leading bits agree, so signed comparison of the rest orders alike.
     within = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_own", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
-    return rows.join(sums, [*keys, "_bucket"]).withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_bucket", "_weight", "_own", "_base")
+    return rows.join(sums, [*keys, "_bucket"]).withColumn(name, (F.col("_base") + F.col("_own")).cast(kind)).drop("_bucket", "_weight", "_own", "_base")

@@ -141,6 +141,65 @@ def test_near_duplicates_stage_against_all_pairs(spark):
     assert len({x["doc_id"] for x in simhash.keep_one(docs).collect()}) > len(expected) + 20
 
 
+@pytest.mark.parametrize("agreeing", [1, 2, 3, 4])
+def test_patterns_of_any_width_lose_no_link(spark, agreeing):
+    r = random.Random(12)
+    masks = [m & (1 << 64) - 1 for m in simhash.patterns(4, agreeing)]
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a ^ sum(1 << x for x in r.sample(range(64), 4))
+        assert any(a & m == b & m for m in masks)
+    centers = [r.getrandbits(64) for _ in range(30)]
+    values = list({c ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 5))) for c in centers for _ in range(8)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    unsigned = lambda v: v & (1 << 64) - 1
+    every = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if (unsigned(a) ^ unsigned(b)).bit_count() <= 4]
+    edges = [tuple(e) for e in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, 8192, agreeing).collect()]
+    assert union_find(edges, signed) == union_find(every, signed)
+
+
+def test_copies_of_a_fingerprint_stay_few_as_the_corpus_grows():
+    copies = {n: len(simhash.patterns(4, simhash.agreeing_blocks(n, 4, 8192))) for n in (10**6, 10**8, 10**9, 10**11)}
+    assert copies == {10**6: 5, 10**8: 15, 10**9: 15, 10**11: 35}
+
+
+def test_one_row_of_alike_texts_stays_whatever_the_ids(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, text), (None, text), (2, "other text"), (None, "third text that is alone"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.keep_one, shingles.keep_one):
+        got = sorted((x["doc_id"] or 0, x["text"] or "") for x in keep(docs).collect())
+        expected = [(0, "third text that is alone"), (1, text), (2, "other text"), (3, "")]
+        assert got == (expected if keep is simhash.keep_one else sorted([*expected, (0, "")]))
+
+
+@pytest.mark.parametrize("limits", [(1024, 1 << 20), (3, 1 << 20), (1024, 300)])
+def test_jaccard_blocks_of_any_size_find_the_same(spark, monkeypatch, limits):
+    monkeypatch.setattr(shingles, "BLOCK_ROWS", limits[0])
+    monkeypatch.setattr(shingles, "BLOCK_SHINGLES", limits[1])
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for _ in range(60):  # alike by about 0.7: they share bands, and some are linked
+        some = list(base)
+        for at in r.sample(range(120), r.choice([2, 3, 4, 5])):
+            some[at] = f"x{r.randrange(9)}"
+        rows.append(" ".join(some))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    pairs = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = {i for i, c in union_find(pairs, range(60)).items() if i == c}
+    assert {x["doc_id"] for x in shingles.keep_one(docs).collect()} == expected
+
+
+def test_common_counts_are_those_of_sets():
+    r = random.Random(10)
+    sets = [np.unique(np.array([r.randrange(300) for _ in range(r.randint(1, 80))], dtype=np.uint64)) for _ in range(70)]
+    for dense in (0, 5, 1000):
+        got = shingles.common(sets, dense)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(70) for j in range(i + 1, 70))
+
+
 # --- operator 3 ------------------------------------------------------------------------------
 
 
@@ -321,6 +380,7 @@ def test_budgets_fill_siblings_before_ancestors():
 def test_prefixes_against_brute_force(spark):
     r = random.Random(5)
     rows = [(i, " ".join(["w"] * r.randint(1, 30)), "en", r.choice(["s1", "s2", "s33"])) for i in range(500)]
+    texts = dict((x[0], x[1]) for x in rows)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = mixing.select(df, share=1.2, epochs=3, seed=13)
     by_leaf = defaultdict(list)
@@ -331,7 +391,7 @@ def test_prefixes_against_brute_force(spark):
     copies = {x["doc_id"]: x["copies"] for x in got.collect()}
     for leaf, own in by_leaf.items():
         whole, rest = divmod(round(given[leaf]), supply[leaf])
-        keys = {x["doc_id"]: x["k"] for x in spark.createDataFrame([(i,) for i, _ in own], "doc_id long").select("doc_id", F.xxhash64(F.lit(13), F.lit(int(whole)), "doc_id").alias("k")).collect()}
+        keys = {x["doc_id"]: x["k"] for x in spark.createDataFrame([(i, texts[i]) for i, _ in own], "doc_id long, text string").select("doc_id", F.xxhash64(F.lit(13), F.lit(int(whole)), "doc_id", F.xxhash64("text")).alias("k")).collect()}
         total, expected = 0, {}
         for i, n in sorted(own, key=lambda x: (keys[x[0]] & (1 << 64) - 1, x[0])):
             total += n
@@ -339,6 +399,26 @@ def test_prefixes_against_brute_force(spark):
         assert all(abs(copies.get(i, 0) - c) <= (abs(given[leaf] - round(given[leaf])) > 1e-9) for i, c in expected.items())
 
 
+@pytest.mark.parametrize("total", [0, 50, 400, 1000, 3000, 10**6])
+def test_leaf_budgets_on_spark_are_those_of_the_tree(spark, total):
+    r = random.Random(9)
+    weights = mixing.Weights({(): {"a": 0.6, "b": 0.3, "c": 0.0}, ("a", "x"): {"s0": 3.0, "s1": 0.0, "s2": 0.0}, ("*", "*"): {"s1": 0.5}}, 1.0)
+    supply = {(d, l, f"s{k}"): r.randint(1, 90) for d in "abc" for l in "xy" for k in range(r.randint(1, 12))}
+    leaves = spark.createDataFrame([(*k, n) for k, n in supply.items()], "domain string, language string, branch string, tokens long")
+    expected = mixing.budgets({k: 2 * n for k, n in supply.items()}, total, weights)
+    got = {(x["domain"], x["language"], x["branch"]): x["given"] for x in mixing.leaf_budgets(leaves, total, weights, 2).collect()}
+    assert got == pytest.approx(expected, abs=1e-3)
+
+
+def test_rows_without_or_with_repeated_ids_are_mixed_as_rows(spark):
+    rows = [(None, f"one two three {i}", "en", "s1") for i in range(40)] + [(7, f"one two three {i}", "en", "s1") for i in range(40)] + [(7, "one two three x", "en", "s1")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert mixing.keep_selected(df, share=1.0, epochs=1).count() == 120
+    half = mixing.keep_selected(df, share=0.5, epochs=1)
+    assert half.count() == 60 and half.where("doc_id is null").count() > 0
+    assert mixing.keep_selected(df, share=1.5, epochs=2).count() == 180
+
+
 # --- operator 8 ------------------------------------------------------------------------------
 
 
