@@ -11,10 +11,12 @@ The test items are the stated query set. They reach the executors in blocks of a
 ``block_bytes`` of text, one pass over the documents for each block, so what is broadcast is
 bounded whatever the size of the benchmark.
 
-A match is an alignment with ``least`` of the item's best score and enough equal words
-(``least_equal``), or, whatever the item's length, one with a score of ``LONG_SCORE`` or a
-passage with ``LONG_RUN`` equal words in a row. Items of ``SHORT`` words at most are seeded
-with pairs of words, and those of fewer than ``EDITABLE`` words only match unedited.
+The score decides (``least_score``): a match has ``least`` of the item's best score, but of
+short items, of which a few common words would be as much, ``FIRM`` of it or a score of
+``SURE``. Passages copied out of long items count by a score of ``LONG_SCORE`` or by
+``LONG_RUN`` equal words in a row. Items of fewer than ``EDITABLE`` words only match unedited.
+Items of ``SHORT`` words at most are seeded with pairs of words: an alignment without any
+two neighbouring words in common reaches no match there.
 
 Defined results: null and empty texts match nothing; items longer than ``SEGMENT`` words are
 sought in segments; a (row, item) pair is returned once, with its best alignment, and
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .words import PLAIN, bounded_batches, encode, gram_hashes, slices, tokenize, word_hashes
 
-GRAM, EDITABLE, SHORT, SEGMENT = 3, 5, 8, 512
-LONG_RUN, LONG_SCORE = 13, 80
+GRAM, EDITABLE, SHORT, SEGMENT = 3, 5, 16, 512
+FIRM, SURE, LONG_RUN, LONG_SCORE = 0.62, 14, 13, 80
 MATCH, MISMATCH, GAP = 2, -1, -1
 NEAR, SPAN = 8, 1024
 _SLOTS = 1 << 20
@@ -51,9 +53,11 @@ def gram_size(n: int) -> int:
     return n if n < EDITABLE else GRAM - 1 if n <= SHORT else GRAM
 
 
-def least_equal(n: int) -> int:
-    """Equal words that a match of an item of ``n`` words has at least."""
-    return n if n < EDITABLE else -(-3 * n // 4) if n <= SHORT else min(8, n)
+def least_score(n: int, least: float) -> float:
+    """Score that a match of an item of ``n`` words has at least."""
+    if n < EDITABLE:
+        return MATCH * n
+    return min(LONG_SCORE, max(least * MATCH * n, min(FIRM * MATCH * n, SURE)))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
@@ -155,7 +159,7 @@ class SeedIndex:
             best: dict[tuple[int, int], tuple] = {}
             for h, t in zip(heads.tolist(), tails.tolist()):
                 item_id, item = self.items[part[h]]
-                equal = least_equal(len(item))
+                enough = least_score(len(item), least) - 1e-9
                 pad = len(item) // 4 + 4
                 origin, beyond = int(words.first[doc[h]]), int(words.first[doc[h] + 1])
                 while h <= t:  # a long run of diagonals is aligned in windows of bounded span
@@ -164,12 +168,11 @@ class SeedIndex:
                     long = bool(run[h : last + 1].any())
                     h = last + 1
                     # No alignment has more equal words than the item has words of the passage.
-                    common = np.count_nonzero(np.isin(item, hashes[low:high]))
-                    if not long and (MATCH * common < min(least * MATCH * len(item), LONG_SCORE) or common < equal):
+                    if not long and MATCH * np.count_nonzero(np.isin(item, hashes[low:high])) < enough:
                         continue
                     score, same, a, b = align(item, hashes[low:high])
                     similarity = score / (MATCH * len(item))
-                    if long or score >= LONG_SCORE or (similarity >= least and same >= equal):
+                    if long or score >= enough:
                         found = (item_id, similarity, same, low + a - origin, low + b - origin)
                         key = (int(doc[t]), item_id)
                         best[key] = max(best.get(key, found), found, key=lambda x: (x[1], -x[3]))
