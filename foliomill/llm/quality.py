@@ -1,18 +1,19 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Words are hashed to buckets. Each bucket has a sparse ternary index vector, and its context
-vector is the sum of the index vectors of the words that stand next to it in the training
-sample, gathered by Spark tasks. A document is the mean of its words' vectors, the mean of
+vector is the sum of the index vectors of the words that stand next to it anywhere in the
+corpus: tasks count in whole numbers, and their sums are added up by ranges of buckets, so the
+driver sees one table of fixed size. A document is the mean of its words' vectors, the mean of
 its word shapes' index vectors and a few norms of these pools; a two-layer numpy network
 maps it to a logit, which a temperature fitted on rows kept from training calibrates.
 
-Learning uses a bounded sample of labelled rows (``sample_rows``, those with the smallest
-hashes of doc_id); scoring is one row-local pass over all texts.
+Only the network learns from a bounded sample: ``sample_rows`` labelled rows at most, those
+with the smallest hashes of doc_id. Scoring is one row-local pass over all texts.
 
 Defined results: null and empty texts pool to zeros and get the network's score for that; a
 sample with a single class gives its smoothed rate to every text, none at all gives 0.5;
-labels repeated for a doc_id count as the lowest; rows are scored one by one, so repeated
-rows get equal scores.
+labels (any type that casts to a number; above 0 is good) repeated for a doc_id count as the
+lowest; rows are scored one by one, so repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, materialize
 from .words import LOWER, SPACED, bounded_batches, encode, slices, tokenize, word_hashes
 
 BUCKETS, DIM, SHAPES, NONZERO = 1 << 14, 32, 256, 4
+#: Ranges of buckets whose sums are added up apart.
+RANGES = 64
 
 
 def index_vectors(rows: int, seed: int) -> np.ndarray:
@@ -41,6 +43,8 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
 
 
 INDEX, SHAPE_INDEX = index_vectors(BUCKETS, 11), index_vectors(SHAPES, 12)
+#: For each bucket the places of its index vector's entries, those of -1 moved on by ``DIM``.
+_ENTRIES = (np.nonzero(INDEX)[1] + DIM * (INDEX[INDEX != 0] < 0)).reshape(BUCKETS, NONZERO).astype(np.int64)
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower or non-ASCII, 2 upper, 3 digit
 _KIND[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -69,15 +73,44 @@ def _read(texts: list[bytes]):
 
 def contexts(texts: list[bytes], window: int = 2) -> np.ndarray:
     """Sums of the index vectors of each bucket's neighbours."""
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
+    out = np.zeros(BUCKETS * 2 * DIM, dtype=np.int64)
     for _, part in slices(texts):
-        words, bucket, _ = _read(part)
+        words = tokenize([x.translate(LOWER) for x in part], SPACED)
+        bucket = (word_hashes(words) & np.uint64(BUCKETS - 1)).astype(np.int64)
         for gap in range(1, window + 1):
             near = words.doc[gap:] == words.doc[:-gap]
-            a, b = bucket[gap:][near], bucket[:-gap][near]
-            np.add.at(out, a, INDEX[b])
-            np.add.at(out, b, INDEX[a])
-    return out
+            after, before = bucket[gap:][near], bucket[:-gap][near]
+            for at in range(0, len(after), 1 << 16):
+                a, b = after[at : at + (1 << 16)], before[at : at + (1 << 16)]
+                places = np.concatenate([a[:, None] * (2 * DIM) + _ENTRIES[b], b[:, None] * (2 * DIM) + _ENTRIES[a]])
+                np.add.at(out, places.ravel(), 1)
+    out = out.reshape(BUCKETS, 2, DIM)
+    return out[:, 0] - out[:, 1]
+
+
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """A vector for each bucket, from all texts of ``docs``."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, DIM), dtype=np.int64)
+        for batch in batches:
+            total += contexts([encode(t.as_py()) for t in batch.column(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, RANGES)], pa.binary())], names=["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[part] = held.get(part, 0) + np.frombuffer(sums.as_buffer(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "sums"])
+
+    vectors = np.zeros((RANGES, BUCKETS // RANGES * DIM), dtype=np.float64)
+    schema = "part int, sums binary"
+    for row in docs.select("text").mapInArrow(gather, schema).repartition("part").mapInArrow(add, schema).collect():
+        vectors[row["part"]] = np.frombuffer(row["sums"], dtype=np.int64)
+    vectors = vectors.reshape(BUCKETS, DIM)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    return (vectors + 0.5 * INDEX).astype(np.float32)
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
@@ -186,25 +219,23 @@ class QualityModel:
         return self.network.score(pooled([encode(t) for t in texts], self.vectors))
 
 
+def sample_of(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """``doc_id, text, quality`` (0 or 1) of at most ``sample_rows`` rows, those of the smallest hashes of doc_id."""
+    good = (F.col("quality").cast("double") > 0).cast("int")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("quality")).where("doc_id is not null and quality is not null")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    order = [F.xxhash64("doc_id", F.lit(1)), "doc_id"]
+    chosen = known.orderBy(*order).limit(sample_rows)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    # Only if ids repeat are there more rows than that.
+    return rows.orderBy(*order, F.xxhash64("text")).limit(sample_rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, tasks: int = 8) -> QualityModel:
     """Learn from at most ``sample_rows`` labelled rows; ``labels`` has doc_id and quality."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample_rows)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(tasks, "doc_id"))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, DIM), dtype=np.float32)
-        for batch in batches:
-            total += contexts([encode(t.as_py()) for t in batch.column(0)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    vectors = np.zeros((BUCKETS, DIM), dtype=np.float64)
-    for row in sample.select("text").mapInArrow(gather, "sums binary").toLocalIterator():
-        vectors += np.frombuffer(row["sums"], dtype=np.float32).reshape(BUCKETS, DIM)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    vectors = (vectors + 0.5 * INDEX).astype(np.float32)
+    vectors = word_vectors(docs)
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, tasks: int
             rows = pooled([encode(t.as_py()) for t in batch.column(1)], shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(rows), pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
-    made = sample.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, x array<float>").toPandas().sort_values("doc_id")
-    discard(sample)
+    sample = sample_of(docs, labels, sample_rows).repartition(tasks, "doc_id")
+    made = sample.mapInArrow(features, "doc_id long, quality int, x array<float>").toPandas()
     x = np.array(made.x.tolist(), dtype=np.float32)
-    return QualityModel(vectors, train(x, made.quality.to_numpy()))
+    order = np.lexsort((*x.T[:4], made.doc_id.to_numpy())) if len(x) else slice(0)
+    return QualityModel(vectors, train(x[order], made.quality.to_numpy()[order]))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -231,7 +263,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """``doc_id, held_out, score, predicted``; rows whose crc32 of doc_id mod 4 is 2 are not learned from."""
+    """``doc_id, held_out, score, predicted``; no label is learned of rows whose crc32 of doc_id mod 4 is 2."""
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = fit(docs, labels.where(~out), **options)
     return score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

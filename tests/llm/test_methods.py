@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliomill.llm import decontam, langid, license_scan, mixing, queries, sharding, shingles, simhash, warc, words
+from foliomill.llm import decontam, langid, license_scan, mixing, quality, queries, sharding, shingles, simhash, warc, words
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -79,6 +79,39 @@ def test_quality_held_out_accuracy(spark, tables):
     assert got.score[got.quality == 1].mean() > got.score[got.quality == 0].mean() + 0.5
 
 
+def test_contexts_and_pools_against_plain_loops():
+    texts = [b"The cat sat on the mat. The cat!", b"", b"one", b"a b a b a"]
+    got = quality.contexts(texts)
+    expected = np.zeros_like(got)
+    for text in texts:
+        bucket = [int(words.word_hashes(words.tokenize([w], words.SPACED))[0]) & quality.BUCKETS - 1 for w in text.lower().split()]
+        for i, b in enumerate(bucket):
+            for j in range(max(0, i - 2), min(len(bucket), i + 3)):
+                if j != i:
+                    expected[b] += quality.INDEX[bucket[j]].astype(np.int64)
+    assert (got == expected).all()
+    vectors = np.random.default_rng(0).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    rows = quality.pooled(texts, vectors)
+    for text, row in zip(texts, rows):
+        bucket = [int(words.word_hashes(words.tokenize([w], words.SPACED))[0]) & quality.BUCKETS - 1 for w in text.lower().split()]
+        mean = np.mean([vectors[b] for b in bucket], axis=0) if bucket else np.zeros(quality.DIM)
+        assert np.allclose(row[: quality.DIM], mean, atol=1e-5)
+
+
+@pytest.mark.parametrize("kind", ["long", "boolean", "double", "string"])
+def test_labels_of_any_type(spark, kind):
+    docs = spark.createDataFrame([(i, "good plain words here" if i % 2 else "BUY NOW !!! $$$") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int").select("doc_id", F.col("quality").cast(kind))
+    got = quality.classify(docs, labels).toPandas()
+    assert ((got.score > 0.5) == (got.doc_id % 2 == 1)).all()
+
+
+def test_the_sample_is_bounded_though_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 10, f"words {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    assert quality.sample_of(docs, labels, 25).count() <= 25
+
+
 # --- operator 2 ------------------------------------------------------------------------------
 
 
@@ -281,6 +314,8 @@ def test_an_edited_copy_is_found_however_often_it_occurs(spark):
         (5, [0, 1, 3, 4], True),
         (8, [0, 1, 3, 4, 6, 7], True),
         (8, [0, 1, 4, 5], False),
+        (10, [*range(2, 9)], True),
+        (6, [0, 1, 2, 4, 5], True),
         (4, [0, 1, 2, 3], True),
         (4, [0, 1, 3], False),
         (2, [0, 1], True),
@@ -305,6 +340,35 @@ def test_alignment_score_is_smith_waterman():
         assert decontam.align(np.array(a), np.array(b))[0] == max(map(max, table))
 
 
+def test_recall_against_all_pairs_aligned():
+    r = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(k, [r.choice(vocabulary) for _ in range(r.choice([2, 4, 5, 6, 8, 10, 12, 15, 20, 30, 45, 60]))]) for k in range(48)]
+    texts = []
+    for k in range(240):
+        _, item = items[k % 48]
+        edited = []
+        for w in item:
+            kind, rate = r.random(), (0, 0.1, 0.2, 0.3, 0.4)[k // 48]
+            edited += [w] if kind >= rate else r.choice([[], [r.choice(vocabulary)], [w, r.choice(vocabulary)]])
+        if k % 5 == 4:  # a part of the item only
+            edited = edited[len(edited) // 3 :]
+        host = [r.choice(vocabulary) for _ in range(60)]
+        texts.append(" ".join(host[:30] + edited + host[30:]))
+    index = decontam.SeedIndex.build([(i, " ".join(w)) for i, w in items])
+    found = {(d, x[0]) for d, own in enumerate(index.leaks(texts, 0.4)) for x in own}
+    hashes = [words.word_hashes(words.tokenize([t.encode()], words.PLAIN)) for t in texts]
+    expected = set()
+    for i, w in items:
+        own = words.word_hashes(words.tokenize([" ".join(w).encode()], words.PLAIN))
+        for d, h in enumerate(hashes):
+            if decontam.align(own, h)[0] >= decontam.least_score(len(own), 0.4) - 1e-9:
+                expected.add((d, i))
+    print(f"alignments {len(expected)}, found {len(found & expected)}, beyond them {len(found - expected)}")
+    assert len(found & expected) >= 0.97 * len(expected)
+    assert all(any(tuple(h[a : a + 13]) == tuple(own[b : b + 13]) for a in range(len(h) - 12) for b in range(len(own) - 12)) for d, i in found - expected for h, own in [(texts[d].split(), items[i][1])])
+
+
 def test_blocks_give_the_same_leaks(spark):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(i, "before " + " ".join(f"w{i}x{j}" for j in range(12)) + " after") for i in range(6)], "doc_id long, text string")
