@@ -7,12 +7,16 @@ headers of each following frame to find where it ends, decodes one frame per rec
 checks version line, header fields, lengths, the closing blank lines and payload digests.
 
 Records with equal payloads: the one with the smallest page_id is the response, the others
-are revisits that refer to it. The choice is an aggregate with map-side combine joined back
-by digest, so a payload that a third of all pages share is split by the skew join.
+are revisits that refer to it. That is decided on narrow rows (place, digest, page_id), with
+digests that occur once left out, and only the revisits' flags are joined back to the pages,
+by the place of the row: payloads never follow the digest, so a payload that a third of all
+pages share is in no task of its own. The table of repeated digests is written before it is
+joined, which lets the skew join split the narrow rows of a hot digest.
 
 Defined results: a null html is an empty payload; a null url becomes ``urn:page:`` and the id;
 rows that repeat the response's page_id are responses too; a group whose ids are all null
-has only responses. Records that fail a check come back with ``error`` set, or stop the
+has only responses. A record's id is made from the place of its row besides its page_id, so
+no two records share one. Records that fail a check come back with ``error`` set, or stop the
 reading with ``strict``.
 """
 
@@ -29,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialize, numbered
 from .words import bounded_batches
 
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -40,7 +45,7 @@ LEAST_REVISIT = 0
 
 
 def train_dictionary(pages: DataFrame, sample_pages: int = 400, size: int = 1 << 15) -> bytes:
-    """A Zstandard dictionary of a bounded sample of payloads (compression only depends on it)."""
+    """A Zstandard dictionary of the first ``sample_pages`` payloads that the scan yields (only compression depends on it)."""
     import zstandard
 
     rows = pages.where("html is not null and octet_length(html) between 1 and 65536").select("html").limit(sample_pages).collect()
@@ -51,8 +56,8 @@ def train_dictionary(pages: DataFrame, sample_pages: int = 400, size: int = 1 <<
         return b"".join(samples)[:size]  # too few to train: plain content
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'urn:page:{page_id}')}>"
+def record_id(page_id: int | None, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'urn:page:{page_id}:{place}')}>"
 
 
 def _line(value: str) -> str:
@@ -60,13 +65,13 @@ def _line(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
-    """A response, or a revisit without payload if it refers to another page."""
+def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, place: str = "", refers_place: str = "") -> bytes:
+    """A response, or a revisit without payload if it refers to another page; places tell equal pages apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, place)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _line(url) if url is not None else f"urn:page:{page_id}"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -76,19 +81,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, length: int, di
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_place)), ("X-Refers-To-Page-ID", str(refers_to))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Pages with digest, length and, for revisits, the page they refer to."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("length", F.octet_length("html").cast("long"))
-    first = rows.where(F.col("length") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    out = rows.join(first, "digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return out.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "length", "digest", refers.alias("refers_to"))
+    """Pages with digest, length and, for revisits, the page they refer to and its place."""
+    every, place = numbered(pages), ["_file", "_at"]
+    html = F.coalesce("_row.html", F.lit(""))
+    rows = every.select(*place, F.col("_row.page_id").cast("long").alias("page_id"), F.col("_row.url").cast("string").alias("url"), html.alias("html"))
+    slim = materialize(rows.select(*place, "page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").cast("long").alias("length")))
+    least_id = F.min(F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", *place))
+    first = slim.where(F.col("length") >= least).groupBy("digest").agg(least_id.alias("first"), F.count("*").alias("n")).where("n > 1 and not first.unnamed")
+    first = materialize(first.select("digest", F.col("first.page_id").alias("refers_to"), F.concat_ws(":", "first._file", "first._at").alias("refers_place")))
+    again = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(*place, "refers_to", "refers_place")
+    out = rows.join(materialize(again), place, "left").withColumn("digest", F.unhex(F.sha1("html"))).withColumn("length", F.octet_length("html").cast("long"))
+    return out.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "length", "digest", "refers_to", F.concat_ws(":", *place).alias("place"), "refers_place")
 
 
 def write(pages: DataFrame, archive_bytes: int = 4 << 20, level: int = 3, least: int = LEAST_REVISIT) -> DataFrame:
@@ -113,9 +122,9 @@ def write(pages: DataFrame, archive_bytes: int = 4 << 20, level: int = 3, least:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64()), pa.array([content], pa.binary())], names=["path", "length", "content"])
 
         for batch in batches:
-            for page_id, url, html, length, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, length, digest, refers, place, refers_place in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                frame = pack.compress(record(page_id, url, payload, length, base64.b32encode(digest).decode(), refers))
+                frame = pack.compress(record(page_id, url, payload, length, base64.b32encode(digest).decode(), refers, place, refers_place))
                 held.append(frame)
                 size += len(frame)
                 if size >= archive_bytes:
@@ -128,14 +137,26 @@ def write(pages: DataFrame, archive_bytes: int = 4 << 20, level: int = 3, least:
 
 
 def export(archives: DataFrame, folder: str) -> None:
-    """Write each archive as a file of ``folder``, one at a time."""
-    spark = archives.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for row in archives.select("path", "content").toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['path']}")
-        out = target.getFileSystem(conf).create(target, True)
-        out.write(row["content"])
-        out.close()
+    """Write each archive as a file of ``folder``, a URI of storage that all executors share.
+
+    Executors write; a file appears under its name when it is complete, so a task that runs
+    twice leaves the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = f"{root.rstrip('/')}/.{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, f"{root.rstrip('/')}/{path}")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    archives.select("path", "content").mapInArrow(run, "path string").count()
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
