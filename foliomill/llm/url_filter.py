@@ -5,16 +5,21 @@ path starts with the rule's; the longest rule wins. Urls that a rule decides are
 text of two smoothed variable-order Markov models, one of accepted and one of rejected urls:
 the chance of a character after its last three is its relative frequency, interpolated with
 the chance after its last two, and so on down to a uniform one. A url without a rule is
-decided by the length-normalised difference of its log-likelihoods, through a calibration
-fitted on a quarter of the labelled strings that the models don't learn from.
+decided by the length-normalised difference of its log-likelihoods, through a calibration.
 
-Urls are scored by their pattern (host and path, digits set to 0), so each distinct pattern
-is cut into n-grams once, weighed by the urls that share it; every n-gram of the corpus gets
-its log ratio from count tables that are far smaller than the urls.
+The models read the characters of the whole url, scheme, query and fragment included; equal
+urls are read once and weighed by their number. The calibration is cross-fitted: urls are
+dealt to two folds by hash, and each fold is scored by models that learn from the other one.
+If a fold lacks accepted or rejected urls, so that one of these models would be empty, the
+difference itself decides, shifted by the classes' odds.
+
+Every n-gram of the corpus gets its log ratios from count tables that are far smaller than the
+urls; the join with them is left to AQE, which broadcasts what is small by measured size.
 
 Defined results: a null url or one without ``://`` has empty host and path; without urls of
 both verdicts to learn from, urls without a rule are allowed; ties at the threshold allow;
-rows are judged one by one, so repeated rows agree, whatever their page_id.
+rows are judged one by one, so repeated rows agree, whatever their page_id; ``keep_allowed``
+judges rows too, so a null page_id neither keeps nor drops any other row.
 """
 
 from __future__ import annotations
@@ -50,10 +55,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, ruled``: the longest rule that fits each url, if any."""
+def with_rules(pages: DataFrame, rules=RULES, kept: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The columns ``kept`` and ``url, host, path, rule, ruled``: the longest rule that fits each url, if any."""
     host, path = host_and_path(F.col("url"))
-    out = pages.select("page_id", host.alias("host"), path.alias("path"))
+    out = pages.select(*kept, F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
@@ -61,28 +66,27 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def pattern() -> Column:
-    return F.translate(F.concat("host", "path"), "123456789", "000000000")
+def _fold() -> Column:
+    return F.md5("url").substr(1, 1).isin(*"01234567").cast("int")
+
+
+#: Models: all labelled urls, and those of one fold, which score the other.
+MODELS = ("", "0", "1")
 
 
-def _log_ratios(grams: DataFrame) -> DataFrame:
-    """``gram, ratio`` for every full-length n-gram, from its counts ``a`` (accepted) and ``r`` (rejected)."""
-    counts = grams.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-    counts = materialize(counts)
-    level = None
+def _log_ratios(counts: DataFrame) -> DataFrame:
+    """``gram, ratio, ratio0, ratio1`` for every full-length n-gram, from its counts ``a0, a1`` (accepted, by fold) and ``r0, r1``."""
+    sums = [F.sum(f"{x}{m}").alias(f"{x}{m}") for x in "ar" for m in MODELS]
+    level, weight = None, PRIOR * 10
     for k in range(1, ORDER + 1):
-        cut = F.expr(f"right(gram, {k})")
-        own = counts.groupBy(cut.alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-        context = F.expr(f"left(g, {k - 1})")
-        around = own.groupBy(context.alias("c")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-        if level is None:
-            made = own.withColumn("pa0", F.lit(1 / ALPHABET)).withColumn("pr0", F.lit(1 / ALPHABET)).withColumn("c", context).join(around, "c")
-        else:
-            made = own.withColumn("c", context).join(around, "c").withColumn("s", F.expr(f"right(g, {k - 1})")).join(level, "s")
-        weight = PRIOR * 10
-        chance = lambda n, total, before: (F.col(n) + weight * F.col(before)) / (F.col(total) + weight)
-        level = made.select(F.col("g").alias("s"), chance("a", "ca", "pa0").alias("pa0"), chance("r", "cr", "pr0").alias("pr0"))
-    return level.select(F.col("s").alias("gram"), (F.log("pa0") - F.log("pr0")).alias("ratio"))
+        own = counts.groupBy(F.expr(f"right(gram, {k})").alias("g")).agg(*sums).withColumn("c", F.expr(f"left(g, {k - 1})"))
+        around = own.groupBy("c").agg(*[F.sum(f"{x}{m}").alias(f"c{x}{m}") for x in "ar" for m in MODELS])
+        made = own.join(around, "c")
+        if level is not None:
+            made = made.withColumn("s", F.expr(f"right(g, {k - 1})")).join(level, "s")
+        before = lambda x: F.lit(1 / ALPHABET) if level is None else F.col(f"p{x}")  # noqa: B023, E731
+        level = made.select(F.col("g").alias("s"), *[((F.col(x) + weight * before(x)) / (F.col(f"c{x}") + weight)).alias(f"p{x}") for x in (f"{y}{m}" for y in "ar" for m in MODELS)])
+    return level.select(F.col("s").alias("gram"), *[(F.log(f"pa{m}") - F.log(f"pr{m}")).alias(f"ratio{m}") for m in MODELS])
 
 
 @dataclass
@@ -95,10 +99,12 @@ class Calibration:
 
     @staticmethod
     def of(stats: dict) -> Calibration:
-        """From count, mean and variance of both classes: two normal densities of one variance."""
+        """From count, sum and sum of squares of both classes: two normal densities of one variance."""
         na, nr = stats["na"] or 0, stats["nr"] or 0
         if not na or not nr:
             return Calibration(0.0, 0.0, False)
+        if not all(stats[f"n{x}{m}"] for x in "ar" for m in "01"):
+            return Calibration(1.0, math.log(na / nr), True)
         ma, mr = stats["sa"] / na, stats["sr"] / nr
         spread = max((stats["qa"] - na * ma * ma + stats["qr"] - nr * mr * mr) / (na + nr), 1e-6)
         if ma <= mr:
@@ -106,37 +112,38 @@ class Calibration:
         return Calibration((ma - mr) / spread, (mr * mr - ma * ma) / (2 * spread) + math.log(na / nr), True)
 
 
-def score_patterns(ruled: DataFrame) -> tuple[DataFrame, Calibration]:
-    """``pattern, llr`` of every distinct pattern, and the calibration."""
-    patterns = ruled.groupBy(pattern().alias("pattern")).agg(F.sum(F.expr("cast(ruled = 'allow' as long)")).alias("la"), F.sum(F.expr("cast(ruled = 'block' as long)")).alias("lr"))
-    kept = F.md5("pattern").substr(1, 1).isin("0", "1", "2", "3")
-    patterns = materialize(patterns.select("pattern", F.coalesce("la", F.lit(0)).alias("la"), F.coalesce("lr", F.lit(0)).alias("lr"), kept.alias("held")))
-    padded = F.concat(F.lit("^" * (ORDER - 1)), "pattern", F.lit("$"))
-    cut = F.transform(F.sequence(F.lit(1), F.length("pattern") + 1), lambda i: F.substr(padded, i, F.lit(ORDER)))
-    grams = patterns.select("pattern", F.when(F.col("held"), 0).otherwise(F.col("la")).alias("a"), F.when(F.col("held"), 0).otherwise(F.col("lr")).alias("r"), F.explode(cut).alias("gram"))
-    ratios = _log_ratios(grams)
-    scores = grams.select("pattern", "gram").join(ratios, "gram").groupBy("pattern").agg((F.sum("ratio") / F.count("*")).alias("llr"))
-    scored = materialize(scores.join(patterns, "pattern"))
-    of = lambda n: (F.sum(F.col(f"l{n}")).alias(f"n{n}"), F.sum(F.col(f"l{n}") * F.col("llr")).alias(f"s{n}"), F.sum(F.col(f"l{n}") * F.col("llr") * F.col("llr")).alias(f"q{n}"))
-    stats = scored.where("held").agg(*of("a"), *of("r")).first().asDict()
-    return scored.select("pattern", "llr"), Calibration.of(stats)
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, score``; the score is the models' chance of acceptance."""
-    ruled = with_rules(pages, rules)
-    scores, fitted = score_patterns(ruled)
-    out = ruled.withColumn("pattern", pattern()).join(scores, "pattern", "left")
+def score_urls(ruled: DataFrame) -> tuple[DataFrame, Calibration]:
+    """``url, llr`` of every distinct url, and the calibration."""
+    urls = ruled.groupBy("url").agg(F.sum(F.expr("cast(ruled = 'allow' as long)")).alias("la"), F.sum(F.expr("cast(ruled = 'block' as long)")).alias("lr"))
+    urls = materialize(urls.select("url", F.coalesce("la", F.lit(0)).alias("la"), F.coalesce("lr", F.lit(0)).alias("lr"), _fold().alias("fold")))
+    padded = F.concat(F.lit("^" * (ORDER - 1)), "url", F.lit("$"))
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("url") + 1), lambda i: F.substr(padded, i, F.lit(ORDER)))).alias("gram")
+    grams = urls.select("url", "fold", "la", "lr", cut)
+    own = [F.sum(F.when(F.col("fold") == int(m), F.col(f"l{x}")).otherwise(0) if m else F.col(f"l{x}")).alias(f"{x}{m}") for x in "ar" for m in MODELS]
+    ratios = _log_ratios(materialize(grams.groupBy("gram").agg(*own)))
+    ratio = F.when(F.col("fold") == 0, F.col("ratio1")).otherwise(F.col("ratio0"))
+    scores = grams.select("url", "fold", "gram").join(ratios, "gram").groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("llr"), (F.sum(ratio) / F.count("*")).alias("held"))
+    scored = materialize(scores.join(urls, "url"))
+    of = lambda x: (F.sum(f"l{x}").alias(f"n{x}"), F.sum(F.col(f"l{x}") * F.col("held")).alias(f"s{x}"), F.sum(F.col(f"l{x}") * F.col("held") * F.col("held")).alias(f"q{x}"), *[F.sum(F.when(F.col("fold") == int(m), F.col(f"l{x}"))).alias(f"n{x}{m}") for m in "01"])
+    return scored.select("url", "llr"), Calibration.of(scored.agg(*of("a"), *of("r")).first().asDict())
+
+
+def judge(pages: DataFrame, rules=RULES, kept: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The columns ``kept`` and ``host, path, rule, verdict, score``; the score is the models' chance of acceptance."""
+    ruled = with_rules(pages, rules, kept)
+    scores, fitted = score_urls(ruled)
+    out = ruled.join(scores, "url", "left")
     logit = F.lit(fitted.slope) * F.col("llr") + F.lit(fitted.shift)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     model = F.when(logit >= 0, "allow").otherwise("block") if fitted.known else F.lit("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"), score.alias("score"))
+    return out.select(*kept, "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"), score.alias("score"))
 
 
 def keep_allowed(pages: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``pages`` whose url is allowed."""
-    blocked = judge(pages, rules).where("verdict = 'block'").select("page_id").distinct()
-    return pages.join(blocked, "page_id", "left_anti").select(pages.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row")
+    judged = judge(pages.select(row, "url"), rules, ("_row",))
+    return judged.where("verdict = 'allow'").select("_row.*")
 
 
 def _oracle() -> str:
@@ -144,28 +151,31 @@ def _oracle() -> str:
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in by_length)
     ruled = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in by_length)
-    w = PRIOR * 10
+    w, models = PRIOR * 10, [f"{x}{m}" for x in "ar" for m in MODELS]
     levels = []
     for k in range(1, ORDER + 1):
-        before = f"1.0 / {ALPHABET}" if k == 1 else "b.{}"
+        before = (lambda x: f"1.0 / {ALPHABET}") if k == 1 else (lambda x: f"b.p{x}")
         join = "" if k == 1 else f"JOIN level{k - 1} b ON b.g = right(o.g, {k - 1})"
-        levels.append(f"""own{k} AS (SELECT right(gram, {k}) AS g, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM counts GROUP BY 1),
-around{k} AS (SELECT left(g, {k - 1}) AS c, sum(a) AS ca, sum(r) AS cr FROM own{k} GROUP BY 1),
-level{k} AS (SELECT o.g, (o.a + {w} * {before.format('pa')}) / (ca + {w}) AS pa, (o.r + {w} * {before.format('pr')}) / (cr + {w}) AS pr FROM own{k} o JOIN around{k} ON c = left(o.g, {k - 1}) {join})""")
+        levels.append(f"""own{k} AS (SELECT right(gram, {k}) AS g, {", ".join(f"sum({x})::DOUBLE AS {x}" for x in models)} FROM counts GROUP BY 1),
+around{k} AS (SELECT left(g, {k - 1}) AS c, {", ".join(f"sum({x}) AS c{x}" for x in models)} FROM own{k} GROUP BY 1),
+level{k} AS (SELECT o.g, {", ".join(f"(o.{x} + {w} * {before(x)}) / (c{x} + {w}) AS p{x}" for x in models)} FROM own{k} o JOIN around{k} ON c = left(o.g, {k - 1}) {join})""")
+    own = ", ".join(f"sum(l{x}{f' * (fold = {m})::INT' if m else ''}) AS {x}{m}" for x in "ar" for m in MODELS)
     return f"""
-WITH cut AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-ruled AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, translate(host || path, '123456789', '000000000') AS pattern FROM parts),
-patterns AS (SELECT pattern, count(*) FILTER (ruled = 'allow') AS la, count(*) FILTER (ruled = 'block') AS lr, substr(md5(pattern), 1, 1) IN ('0', '1', '2', '3') AS held FROM ruled GROUP BY pattern),
-grams AS (SELECT pattern, CASE WHEN held THEN 0 ELSE la END AS a, CASE WHEN held THEN 0 ELSE lr END AS r, unnest(list_transform(range(1, length(pattern) + 2), lambda i: substr('{"^" * (ORDER - 1)}' || pattern || '$', i, {ORDER}))) AS gram FROM patterns),
-counts AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM grams GROUP BY gram),
+WITH cut AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM parts),
+urls AS (SELECT url, count(*) FILTER (ruled = 'allow') AS la, count(*) FILTER (ruled = 'block') AS lr, (substr(md5(url), 1, 1) < '8')::INT AS fold FROM ruled GROUP BY url),
+grams AS (SELECT url, fold, la, lr, unnest(list_transform(range(1, length(url) + 2), lambda i: substr('{"^" * (ORDER - 1)}' || url || '$', i, {ORDER}))) AS gram FROM urls),
+counts AS (SELECT gram, {own} FROM grams GROUP BY gram),
 {", ".join(levels)},
-scored AS (SELECT pattern, sum(ln(pa) - ln(pr)) / count(*) AS llr FROM grams JOIN level{ORDER} ON g = gram GROUP BY pattern),
-stats AS (SELECT sum(la) AS na, sum(lr) AS nr, sum(la * llr) / sum(la) AS ma, sum(lr * llr) / sum(lr) AS mr, sum(la * llr * llr) AS qa, sum(lr * llr * llr) AS qr FROM scored JOIN patterns USING (pattern) WHERE held),
+scored AS (SELECT url, sum(ln(pa) - ln(pr)) / count(*) AS llr, sum(CASE WHEN fold = 0 THEN ln(pa1) - ln(pr1) ELSE ln(pa0) - ln(pr0) END) / count(*) AS held FROM grams JOIN level{ORDER} ON g = gram GROUP BY url),
+stats AS (SELECT sum(la) AS na, sum(lr) AS nr, sum(la * held) / sum(la) AS ma, sum(lr * held) / sum(lr) AS mr, sum(la * held * held) AS qa, sum(lr * held * held) AS qr,
+  sum(la * fold) > 0 AND sum(la * (1 - fold)) > 0 AND sum(lr * fold) > 0 AND sum(lr * (1 - fold)) > 0 AS fair FROM scored JOIN urls USING (url)),
 fitted AS (SELECT *, greatest((qa - na * ma * ma + qr - nr * mr * mr) / (na + nr), 1e-6) AS spread FROM stats),
-line AS (SELECT na > 0 AND nr > 0 AS known, CASE WHEN ma <= mr THEN 0 ELSE (ma - mr) / spread END AS slope, CASE WHEN ma <= mr THEN ln(na / nr) ELSE (mr * mr - ma * ma) / (2 * spread) + ln(na / nr) END AS shift FROM fitted)
+line AS (SELECT na > 0 AND nr > 0 AS known, CASE WHEN NOT fair THEN 1 WHEN ma <= mr THEN 0 ELSE (ma - mr) / spread END AS slope,
+  CASE WHEN NOT fair OR ma <= mr THEN ln(na / nr) ELSE (mr * mr - ma * ma) / (2 * spread) + ln(na / nr) END AS shift FROM fitted)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN NOT coalesce(known, false) OR slope * llr + shift >= 0 THEN 'allow' ELSE 'block' END) AS verdict
-FROM ruled LEFT JOIN scored USING (pattern), line
+FROM ruled LEFT JOIN scored USING (url), line
 """
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliomill.llm import decontam, langid, license_scan, mixing, quality, queries, sharding, shingles, simhash, warc, words
+from foliomill.llm import decontam, langid, license_scan, mixing, quality, queries, sharding, shingles, simhash, url_filter, warc, words
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -508,6 +508,23 @@ def test_filter_returns_all_languages_of_a_gram():
     assert abs(((mask & np.uint64(1)) > 0).mean() - made.false_rate[0]) < 0.002
 
 
+def test_the_whole_url_decides(spark):
+    rows = [(i, f"http://shop{i % 9}.com/item?ref=mail&id={i}") for i in range(200)] + [(200 + i, f"http://a{i % 9}.net/es/page?ad=casino{i}") for i in range(200)]
+    rows += [(900, "http://other.org/item?ref=mail&id=7"), (901, "http://other.org/item?ad=casino77"), (None, "http://x.net/fr/"), (None, "http://x.com/")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, score string")
+    by = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert (by[900], by[901]) == ("allow", "block")
+    kept = url_filter.keep_allowed(pages)
+    assert kept.columns == pages.columns and [r["url"] for r in kept.where("page_id is null").collect()] == ["http://x.com/"]
+
+
+def test_one_rejected_url_is_learned_from(spark):
+    rows = [(i, f"http://site{i}.com/news") for i in range(60)] + [(100, "http://casino.net/es/win")] * 30
+    rows += [(200, "http://casino.net/de/win"), (201, "http://site5.org/news")]
+    by = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (by[200], by[201]) == ("block", "allow")
+
+
 # --- operator 10 -----------------------------------------------------------------------------
 
 
@@ -527,6 +544,16 @@ def test_archives_round_trip_through_files(spark, tmp_path):
         assert (r["payload"] or b"").decode() == (html if i == first else "")
 
 
+def test_hot_payloads_are_split_and_ids_are_unique(spark):
+    rows = [(i if i % 10 else None, f"http://h/{i}", "hot payload" if i % 3 else f"page {i}") for i in range(600)] + [(5, "http://h/5", "hot payload")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read(warc.write(pages), strict=True).toPandas()
+    assert got.record_id.is_unique and len(got) == 603
+    assert (got[got.refers_to.notna()].refers_to == 1).all() and (got.record_type == "revisit").sum() == 402
+    plan = warc.plan_records(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # payloads meet no aggregate, and join by place only
+
+
 @pytest.mark.parametrize("damage", ["cut", "digest", "length"])
 def test_damaged_archives_are_told(spark, damage):
     import zstandard
