@@ -34,9 +34,34 @@ FOLD_FROM, FOLD_TO = _fold_table()
 FOLD_LONG = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "°": "deg", "…": "...", "—": "--", "€": "EUR", "«": "<<", "»": ">>"}
 FOLD_MARKS = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "º": "o", "ª": "a", "“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "¿": "?", "¡": "!", "\u00a0": " "}
 
+#: Greek and Cyrillic small letters by sound. Fixed values.
+FOLD_GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+FOLD_CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia",
+}
+
+
+def _fold_other(c: Column) -> Column:
+    """Greek and Cyrillic letters, without their marks, as Latin ones; capitals keep their first letter's."""
+    table = FOLD_GREEK | FOLD_CYRILLIC
+    table |= {k.upper(): v.capitalize() for k, v in table.items() if k.upper() not in table}
+    marked = [(x, y) for x in map(chr, range(0x370, 0x530)) if (y := unicodedata.normalize("NFD", x)[0]) != x and y in table]
+    c = F.translate(c, "".join(x for x, _ in marked), "".join(y for _, y in marked))
+    for letter, out in table.items():
+        if len(out) > 1:
+            c = F.replace(c, F.lit(letter), F.lit(out))
+    single = {k: v for k, v in table.items() if len(v) <= 1}
+    plain = sorted(single, key=lambda k: not single[k])  # letters without a sound come last, so they are dropped
+    return F.translate(c, "".join(plain), "".join(single[k] for k in plain))
+
 
 def fold_accents(c: Column) -> Column:
-    """ASCII form: letters lose their marks, some signs become words, the rest is dropped."""
+    """ASCII form: letters lose their marks, Greek and Cyrillic go by sound, some signs become words, the rest is dropped."""
+    c = F.when(c.rlike(r"[\x{370}-\x{52F}]"), _fold_other(c)).otherwise(c)
     for sign, out in FOLD_LONG.items():
         c = F.replace(c, F.lit(sign), F.lit(out))
     c = F.translate(c, FOLD_FROM + "".join(FOLD_MARKS), FOLD_TO + "".join(FOLD_MARKS.values()))

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,26 +24,53 @@ def json_path(c: Column, path: list[str], default: str | None = None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def _search(raw: str | None, field: str) -> list[str] | None:
+    if raw is None:
+        return None
+    out, stack = [], [json.loads(raw)]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            out += [json.dumps(v, ensure_ascii=False) for k, v in x.items() if k == field]
+            stack += [v for v in reversed(list(x.values())) if isinstance(v, (dict, list))]
+        elif isinstance(x, list):
+            stack += [v for v in reversed(x) if isinstance(v, (dict, list))]
+    return out
+
+
 def values_of(c: Column, field: str) -> Column:
     """All values of a JSON field at any depth, as JSON text, in order of depth-first search."""
 
-    @F.udf("array<string>")
-    def search(raw: str | None):
-        if raw is None:
-            return None
-        out, stack = [], [json.loads(raw)]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, dict):
-                out += [json.dumps(v, ensure_ascii=False) for k, v in x.items() if k == field]
-                stack += [v for v in reversed(list(x.values())) if isinstance(v, (dict, list))]
-            elif isinstance(x, list):
-                stack += [v for v in reversed(x) if isinstance(v, (dict, list))]
-        return out
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def search(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: _search(x, field))
 
     return search(c)
 
 
+def collapse_lists(c: Column, depth: int) -> Column:
+    """Lists nested ``depth`` deep inside a list as one list, in order; null lists count as empty."""
+    for _ in range(depth):
+        c = F.flatten(F.filter(c, lambda x: x.isNotNull()))
+    return c
+
+
+def flatten_json(c: Column, separator: str = ".") -> Column:
+    """A JSON object's leaves by dotted path, as a map to their JSON text; no state is kept between rows."""
+
+    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+    def flat(raw: pd.Series) -> pd.Series:
+        def walk(x: dict, prefix: str) -> dict:
+            out = {}
+            for k, v in x.items():
+                out |= walk(v, f"{prefix}{k}{separator}") if isinstance(v, dict) and v else {f"{prefix}{k}": json.dumps(v, ensure_ascii=False)}
+            return out
+
+        return raw.map(lambda x: None if x is None else walk(json.loads(x), ""))
+
+    return flat(c)
+
+
 def flat_columns(schema: T.StructType, prefix: str = "") -> list[str]:
     """Dotted names of all leaves of a schema."""
     out = []

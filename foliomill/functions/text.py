@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -13,18 +14,21 @@ WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 #: Words that stay whole. Fixed values.
-WHOLE_WORDS = (
-    "n° °C aprox. dna. dpto. ej. esq. pág. p.ej. Ud. Vd. Uds. Vds. vol. a.C. a.J.C. d.C. d.J.C. apdo. Av. Avda. Cía. Dr. Dra. EE.UU. Ee.Uu. etc. fig. "
-    "Gob. Gral. Ing. J.C. km/h Lic. m.n. núm. P.D. Prof. Profa. q.e.p.d. Q.E.P.D. S.A. S.L. S.R.L. s.s.s. Sr. Sra. Srta."
-).split()
+WHOLE_WORDS = [
+    "n°", "°C", "aprox.", "dna.", "dpto.", "ej.", "esq.", "pág.", "p.ej.", "Ud.", "Vd.", "Uds.", "Vds.", "vol.", "a.C.", "a.J.C.", "d.C.", "d.J.C.",
+    "apdo.", "Av.", "Avda.", "Cía.", "Dr.", "Dra.", "EE.UU.", "Ee.Uu.", "etc.", "fig.", "Gob.", "Gral.", "Ing.", "J.C.", "km/h", "Lic.", "m.n.",
+    "núm.", "P.D.", "Prof.", "Profa.", "q.e.p.d.", "Q.E.P.D.", "S.A.", "S.L.", "S.R.L.", "s.s.s.", "Sr.", "Sra.", "Srta.",
+]
 #: Number words and ordinals. Fixed values.
-NUMBER_WORDS = (
-    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno "
-    "veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve treinta cuarenta cincuenta sesenta setenta ochenta noventa "
-    "cien mil millón billón trillón primero segundo tercero cuarto quinto sexto séptimo octavo noveno décimo undécimo duodécimo decimotercero decimocuarto "
-    "decimoquinto decimosexto decimoséptimo decimoctavo decimonoveno vigésimo trigésimo cuadragésimo quincuagésimo sexagésimo septuagésimo octogésima "
-    "nonagésima centésima milésima millonésima billonésima"
-).split()
+NUMBER_WORDS = [
+    "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce", "quince",
+    "dieciséis", "diecisiete", "dieciocho", "diecinueve", "veinte", "veintiuno", "veintidós", "veintitrés", "veinticuatro", "veinticinco",
+    "veintiséis", "veintisiete", "veintiocho", "veintinueve", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien",
+    "mil", "millón", "billón", "trillón", "primero", "segundo", "tercero", "cuarto", "quinto", "sexto", "séptimo", "octavo", "noveno", "décimo",
+    "undécimo", "duodécimo", "decimotercero", "decimocuarto", "decimoquinto", "decimosexto", "decimoséptimo", "decimoctavo", "decimonoveno",
+    "vigésimo", "trigésimo", "cuadragésimo", "quincuagésimo", "sexagésimo", "septuagésimo", "octogésima", "nonagésima", "centésima", "milésima",
+    "millonésima", "billonésima",
+]
 
 
 def exception_pieces() -> dict[str, list[str]]:
@@ -80,8 +84,16 @@ def like_num(token: Column) -> Column:
 
 
 def without_stop_words(tokens: Column, words: list[str]) -> Column:
-    """Tokens whose lower-case form isn't in the list."""
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(*words))
+    """Tokens whose lower-case form isn't in the list; the list is the user's (:func:`read_words`)."""
+    known = F.create_map(*[F.lit(x) for w in sorted(set(words)) for x in (w, True)]) if words else None
+    return F.filter(tokens, lambda t: F.try_element_at(known, F.lower(t)).isNull()) if known is not None else tokens
+
+
+def read_words(spark, path: str) -> list[str]:
+    """A word list of any length from a text file: words part at white space, what follows ``#`` is a remark."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "#.*", "").alias("value"))
+    words = lines.select(F.explode(whitespace_tokens(F.col("value"))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    return sorted(r["w"] for r in words.collect())
 
 
 def vocabulary(tokens: DataFrame, least: int = 1) -> DataFrame:
@@ -116,11 +128,43 @@ def ambiguous_label(token: Column, label: Column) -> Column:
 
 
 def fuzzy_contains(text: Column, keyword: str, edits: int = 2) -> Column:
-    """Whether a word-sized window of the lower-case text is within ``edits`` of the keyword."""
+    """Whether a word-sized window of the lower-case text is within ``edits`` of the keyword.
+
+    Of ``edits + 1`` pieces of the keyword one is unedited in such a window, so only windows
+    around an exact occurrence of a piece are compared; most texts hold none at all.
+    """
     low, n = F.lower(text), len(keyword)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - edits) + 1))
-    near = lambda i: F.exists(F.array(*[F.lit(n + d) for d in range(-edits, edits + 1)]), lambda m: F.levenshtein(F.substr(low, i, m), F.lit(keyword)) <= edits)
-    return F.exists(starts, near)
+    cuts = [n * i // (edits + 1) for i in range(edits + 2)]
+    pieces = [(cuts[i], keyword[cuts[i] : cuts[i + 1]]) for i in range(edits + 1)]
+    if any(not p for _, p in pieces):
+        raise ValueError("the keyword is too short for so many edits")
+
+    def near(whole: Column) -> Column:
+        window = lambda i: F.exists(F.array(*[F.lit(n + d) for d in range(-edits, edits + 1)]), lambda m: (i + m - 1 <= F.length(whole)) & (F.levenshtein(F.substr(whole, i, m), F.lit(keyword), edits) >= 0))
+        out = F.lit(False)
+        for at, piece in pieces:
+            gaps = F.split(whole, f"(?={re.escape(piece)})")  # parts begin where the piece does, overlaps included
+            sums = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), F.array(F.lit(0)), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(g))))
+            found = F.filter(sums, lambda e: F.substr(whole, e + 1, F.lit(len(piece))) == piece)
+            starts = F.flatten(F.transform(found, lambda e: F.sequence(e - at - edits + 1, e - at + edits + 1)))
+            out = out | (whole.contains(piece) & F.exists(starts, lambda i: (i >= 1) & window(i)))
+        return out
+
+    return once(low, near)
+
+
+def query_filter(df: DataFrame, condition: str, **values) -> DataFrame:
+    """Rows that a textual predicate holds for; ``@name`` stands for a given value or list.
+
+    Values are bound as literals and never become part of the text.
+    """
+    names = re.findall(r"@(\w+)", condition)
+    if missing := [n for n in names if n not in values]:
+        raise ValueError(f"no value for {', '.join(missing)}")
+    flat = {f"{n}_{i}": v for n in set(names) if isinstance(values[n], (list, tuple, set)) for i, v in enumerate(sorted(values[n], key=str))}
+    bound = flat | {n: values[n] for n in set(names) if not isinstance(values[n], (list, tuple, set))}
+    text = re.sub(r"@(\w+)", lambda m: "(" + (", ".join(f":{k}" for k in flat if k.rsplit("_", 1)[0] == m[1]) or "NULL") + ")" if isinstance(values[m[1]], (list, tuple, set)) else f":{m[1]}", condition)
+    return df.sparkSession.sql(f"SELECT * FROM {{rows}} WHERE {text}", args=bound, rows=df)
 
 
 def has_label(entities: Column, label: str) -> Column:

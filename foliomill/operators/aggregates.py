@@ -93,10 +93,31 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def adjacent_groups(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Runs of equal neighbours with their sizes, as an unsorted grouping gives them."""
+    """Runs of equal neighbours with their sizes, as an unsorted grouping gives them.
+
+    Rows are dealt to ranges of the first order column's values and their runs found there; a
+    run that goes on in the next range is stitched from the two ends of each range only.
+    """
+    cuts = _range_cuts(df, order[0])
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order[0]))) if cuts else F.lit(0)
     from .windows import with_island
 
-    return with_island(df.withColumn("_all", F.lit(0)), key, ["_all"], order).groupBy("island").agg(F.first(key).alias(key), F.count("*").alias("n"))
+    rows = df.withColumn("_part", F.when(F.col(order[0]).isNull(), -1).otherwise(part))
+    runs = with_island(rows, key, ["_part"], order, "_run").groupBy("_part", "_run").agg(F.first(key).alias(key), F.count("*").alias("n"))
+    ends = runs.groupBy("_part").agg(F.max("_run").alias("runs"), F.min_by(F.struct(key), "_run").alias("head"), F.max_by(F.struct(key), "_run").alias("tail"))
+    every = Window.partitionBy(F.lit(0)).orderBy("_part")
+    joined = F.lag("tail").over(every).eqNullSafe(F.col("head")) & F.lag("runs").over(every).isNotNull()
+    ends = ends.withColumn("_joins", joined.cast("int"))
+    before = F.coalesce(F.sum(F.col("runs") - F.col("_joins")).over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("_part", (before - F.col("_joins")).alias("_base"))
+    return runs.join(ends, "_part").groupBy((F.col("_base") + F.col("_run")).alias("island")).agg(F.first(key).alias(key), F.sum("n").alias("n"))
+
+
+def _range_cuts(df: DataFrame, column: str, parts: int = 64) -> list:
+    """Values that part a column's range into about equal shares; any type that sorts will do."""
+    sample = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(32 * parts).collect()]
+    sample.sort()
+    return sorted(set(sample[:: max(1, len(sample) // parts)]))
 
 
 def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -171,3 +192,47 @@ def entity_scores(truth: DataFrame, predicted: DataFrame, on=("doc_id", "first_p
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = safe(F.col("hits"), F.col("claimed")), safe(F.col("hits"), F.col("support"))
     return sums.select("label", "support", p.alias("precision"), r.alias("recall"), safe(2 * p * r, p + r).alias("f1"))
+
+
+def argmax_tags(scores: Column, truth: Column, ignore: int = -100) -> Column:
+    """``[(truth, predicted), ...]`` of the positions whose true tag counts; a prediction is the class of the largest score."""
+    both = F.filter(F.arrays_zip(truth.alias("truth"), scores.alias("scores")), lambda x: x["truth"] != ignore)
+    return F.transform(both, lambda x: F.struct(x["truth"].alias("truth"), (F.array_position(x["scores"], F.array_max(x["scores"])) - 1).cast("int").alias("predicted")))
+
+
+def token_accuracy(df: DataFrame, scores: str, truth: str, ignore: int = -100) -> DataFrame:
+    """Share of counted positions whose largest score is the true class's, and their number."""
+    each = df.select(F.explode(argmax_tags(F.col(scores), F.col(truth), ignore)).alias("x"))
+    return each.agg(F.avg((F.col("x.truth") == F.col("x.predicted")).cast("int")).alias("accuracy"), F.count("*").alias("n_tokens"))
+
+
+def describe_binned(df: DataFrame, column: str, keys: list[str], percentiles=PERCENTILES, bins: int = 4096) -> DataFrame:
+    """:func:`describe` whose percentiles come from two passes of counts, exact to one bin's values.
+
+    The first pass counts bins of the column's range, the second sorts only the rows of the bins
+    that hold a wanted place, so a group of any size is no single task.
+    """
+    c = F.col(column).cast("double")
+    low, high = df.agg(F.min(c), F.max(c)).first()
+    if low is None:
+        return describe(df, column, keys, percentiles)
+    width = (high - low) / bins or 1.0
+    rows = df.where(c.isNotNull()).select(*keys, c.alias("_x"), F.least(F.floor((c - low) / width), F.lit(bins - 1)).cast("int").alias("_bin"))
+    sums = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_bin")
+    sums = sums.withColumn("_base", F.sum("_n").over(upto) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_all") - 1)).alias("at")) for i, p in enumerate(percentiles)])
+    wanted = F.filter(places, lambda x: (F.ceil(x["at"]) >= F.col("_base")) & (F.floor(x["at"]) < F.col("_base") + F.col("_n")))
+    sums = sums.withColumn("_places", wanted).where(F.size("_places") > 0)
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k"), "_base", "_places")
+    same = F.col("_bin") == F.col("_k")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    near = rows.join(sums, same).select(*keys, "_x", "_bin", "_base", "_places")
+    near = near.withColumn("_at", F.col("_base") + F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("_x")) - 1)
+    hits = near.select(*keys, "_x", "_at", F.explode("_places").alias("_p")).where((F.col("_at") == F.floor("_p.at")) | (F.col("_at") == F.ceil("_p.at")))
+    share = F.when(F.ceil("_p.at") == F.floor("_p.at"), F.lit(1.0)).when(F.col("_at") == F.floor("_p.at"), F.ceil("_p.at") - F.col("_p.at")).otherwise(F.col("_p.at") - F.floor("_p.at"))
+    found = hits.groupBy(*keys).agg(*[F.sum(F.when(F.col("_p.i") == i, F.col("_x") * share)).alias(f"p{round(100 * p)}") for i, p in enumerate(percentiles)])
+    base = df.groupBy(*keys).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    out = base.crossJoin(found) if not keys else base.join(found, keys, "left")
+    return out.select(*keys, "count", "mean", "std", "min", *[f"p{round(100 * p)}" for p in percentiles], "max")

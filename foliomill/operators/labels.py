@@ -78,6 +78,16 @@ def label_codes(labels: list[str]) -> dict[str, int]:
     return {tag: i for i, tag in enumerate(["O", *(f"{p}-{x}" for x in sorted(set(labels)) for p in "BI")])}
 
 
+def code_table(rows: DataFrame, label: str = "label") -> DataFrame:
+    """``tag, code`` as :func:`label_codes` numbers the labels that occur, however many there are."""
+    from .windows import ordered_rank
+
+    names = rows.select(F.col(label).alias("name")).where("name is not null").distinct()
+    ranked = ordered_rank(names, [F.substring("name", 1, 2)], [F.col("name")], "i")
+    each = ranked.select(F.explode(F.array(F.struct(F.concat(F.lit("B-"), "name").alias("tag"), (2 * F.col("i") - 1).cast("int").alias("code")), F.struct(F.concat(F.lit("I-"), "name").alias("tag"), (2 * F.col("i")).cast("int").alias("code")))).alias("x")).select("x.*")
+    return rows.sparkSession.createDataFrame([("O", 0)], "tag string, code int").union(each)
+
+
 def to_samples(tokens: DataFrame, codes: dict[str, int], keys: list[str], position: str = "tok_idx") -> DataFrame:
     """A paragraph's tokens and tag codes; paragraphs without tokens or with an unknown tag go."""
     table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +21,51 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def retrieve(queries: DataFrame, options: DataFrame, k: int = 10, most_options: int = 100_000) -> DataFrame:
+def retrieve(queries: DataFrame, options: DataFrame, k: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """The ``k`` options with the largest inner product of each query (ties by id).
 
-    Options are a stated, small list (their number is checked); they reach every task, where
-    each query keeps only its best ones, so pairs are never shuffled.
+    Options reach the tasks in blocks of at most ``block_bytes`` of vectors. A task multiplies
+    a batch of queries with a block at once and keeps ``k`` places of each; with several blocks
+    these places are merged by query.
     """
-    if options.limit(most_options + 1).count() > most_options:
-        raise ValueError(f"more than {most_options} options")
-    packed = options.groupBy().agg(F.collect_list(F.struct(F.col("option_id").alias("id"), F.col("embedding").alias("v"))).alias("_options"))
-    scored = F.transform("_options", lambda o: F.struct((-F.round(dot(F.col("embedding"), o["v"]), 9)).alias("neg"), o["id"].alias("id")))
-    best = F.slice(F.array_sort(scored), 1, k)
-    rows = queries.join(F.broadcast(packed)).select("query_id", F.posexplode(best).alias("place", "x"))
-    return rows.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("option_id"), (-F.col("x.neg")).alias("score"))
+    spark = queries.sparkSession
+    id_type, query_type = options.schema["option_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query_type}, rank int, option_id {id_type}, score double"
+
+    def best_of(block) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, vectors = block.value
+            for batch in batches:
+                for at in range(0, len(batch), 1024):
+                    some = batch.iloc[at : at + 1024]
+                    scores = np.round(np.array(some["embedding"].tolist(), dtype=np.float64).reshape(len(some), -1) @ vectors.T, 9)
+                    take = min(k, len(names))
+                    # Everything from the k-th score on, so that ties are told apart by id.
+                    least = np.partition(scores, len(names) - take, axis=1)[:, len(names) - take]
+                    rows = [(q, *x) for q, own, low in zip(some["query_id"], scores, least) for x in _places(own, low, names, take)]
+                    yield pd.DataFrame(rows, columns=["query_id", "rank", "option_id", "score"])
+
+        return queries.select("query_id", "embedding").mapInPandas(run, schema)
+
+    blocks, held, size = [], [], 0
+    for row in options.select("option_id", "embedding").where("embedding is not null").toLocalIterator():
+        if held and size + 8 * len(row[1]) > block_bytes:
+            blocks.append(held)
+            held, size = [], 0
+        held.append((row[0], row[1]))
+        size += 8 * len(row[1])
+    blocks += [held] if held else []
+    made = [best_of(spark.sparkContext.broadcast(([x[0] for x in b], np.array([x[1] for x in b], dtype=np.float64)))) for b in blocks]
+    if not made:
+        return spark.createDataFrame([], schema)
+    if len(made) == 1:
+        return made[0]
+    return top_k(reduce(DataFrame.union, made).drop("rank"), ["query_id"], [F.desc("score"), F.col("option_id")], k).select("query_id", "rank", "option_id", "score")
+
+
+def _places(scores: np.ndarray, least: float, names: list, k: int) -> list[tuple]:
+    near = sorted((-scores[i], names[i]) for i in np.flatnonzero(scores >= least))[:k]
+    return [(place + 1, name, float(-s)) for place, (s, name) in enumerate(near)]
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -56,5 +93,67 @@ def cosine_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFram
 
 
 def best_match(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """The row of ``b`` closest to each row of ``a``, by sums over the terms that they share."""
     pairs = cosine_pairs(a, b, key_a, key_b).withColumn("score", F.round("score", 9))
     return top_k(pairs, [key_a], [F.desc("score"), F.col(key_b)], 1, "_r").drop("_r")
+
+
+def best_document(items: DataFrame, docs: DataFrame, key_items: str, key_docs: str, idf: DataFrame, text: str = "text", block_terms: int = 1 << 20) -> DataFrame:
+    """The document closest to each item: ``key_items, key_docs, score`` of TF-IDF cosine.
+
+    ``items`` (key, term, w) are the stated side. Their vectors reach the tasks in blocks of
+    ``block_terms`` entries with the idf of their terms; one pass over the documents for each
+    block scores a document against all of its items and hands on one row an item and task.
+    Document vectors have length one over all their terms; only terms of some item are listed.
+    """
+    spark = items.sparkSession
+    wanted = items.select("term").distinct().withColumn("wanted", F.lit(True))
+    counts = term_counts(docs, key_docs, text).join(idf.join(wanted, "term", "left"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    vectors = counts.groupBy(key_docs).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw"))).alias("terms"))
+    return _scan_best(spark, items, vectors, key_items, key_docs, block_terms)
+
+
+def _scan_best(spark, items: DataFrame, vectors: DataFrame, key_items: str, key_docs: str, block_terms: int) -> DataFrame:
+    kinds = {k: df.schema[k].dataType.simpleString() for k, df in ((key_items, items), (key_docs, vectors))}
+    schema = f"{key_items} {kinds[key_items]}, {key_docs} {kinds[key_docs]}, score double"
+
+    def pass_over(block) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, postings = block.value
+            best: dict[int, tuple[float, object]] = {}
+            for batch in batches:
+                for key, norm, terms in zip(batch[key_docs], batch["norm"], batch["terms"]):
+                    score = np.zeros(len(names))
+                    for t in terms:
+                        if (p := postings.get(t["term"])) is not None:
+                            score[p[0]] += p[1] * (t["raw"] / norm)
+                    for i in np.flatnonzero(score):
+                        x = round(float(score[i]), 9)
+                        if (now := best.get(i)) is None or x > now[0] or (x == now[0] and key < now[1]):
+                            best[i] = (x, key)
+            yield pd.DataFrame([(names[i], key, x) for i, (x, key) in best.items()], columns=[key_items, key_docs, "score"])
+
+        return vectors.mapInPandas(run, schema)
+
+    made, held = [], []
+
+    def flush() -> None:
+        names = sorted({x[0] for x in held})
+        place = {n: i for i, n in enumerate(names)}
+        postings: dict[str, tuple[list, list]] = {}
+        for name, term, w in held:
+            own = postings.setdefault(term, ([], []))
+            own[0].append(place[name])
+            own[1].append(w)
+        made.append(pass_over(spark.sparkContext.broadcast((names, {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}))))
+
+    for row in items.select(key_items, "term", "w").orderBy(key_items).toLocalIterator():
+        if len(held) >= block_terms and held[-1][0] != row[0]:
+            flush()
+            held = []
+        held.append(tuple(row))
+    if held:
+        flush()
+    if not made:
+        return spark.createDataFrame([], schema)
+    return top_k(reduce(DataFrame.union, made), [key_items], [F.desc("score"), F.col(key_docs)], 1, "_r").drop("_r")

@@ -79,3 +79,18 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     """Without the columns that hold nothing but nulls (one aggregate over the table)."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return df.select(*[F.col(f"`{c}`") for c in df.columns if counts[c]])
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order; every task hands on ``n`` rows at most."""
+    return df.orderBy(*order).limit(n)
+
+
+def last_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows of an ascending order, in that order."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows drawn without replacement: those of the smallest seeded hashes of their key."""
+    return df.orderBy(seeded_order(key, seed), key).limit(n)

@@ -79,9 +79,53 @@ def extractor(df: DataFrame, name: str) -> DataFrame:
             model = model or make()
             yield pd.DataFrame({"_text": batch["_text"], "entities": model.predict(batch["_text"].tolist())})
 
-    distinct = df.select(F.col("text").alias("_text")).where("_text is not null").distinct()
-    made = distinct.mapInPandas(run, f"_text string, entities {ENTITIES}")
-    return df.drop("entities").join(made, df["text"] == made["_text"], "left").drop("_text").withColumn("entities", F.coalesce("entities", F.array().cast(ENTITIES)))
+    keyed = df.drop("entities").withColumn("_key", _digest(F.col("text")))
+    distinct = keyed.where("text is not null").groupBy("_key").agg(F.any_value("text").alias("_text"))
+    made = distinct.mapInPandas(_keyed(run), f"_key binary, entities {ENTITIES}")
+    return keyed.join(made, "_key", "left").drop("_key").withColumn("entities", F.coalesce("entities", F.array().cast(ENTITIES)))
+
+
+def _digest(text):
+    """A key of 128 bits, so that equal texts meet without their characters being compared or sorted."""
+    return F.unhex(F.md5(text))
+
+
+def _keyed(run):
+    """Let a function of ``_text`` batches carry the key along."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[pd.Series] = []
+
+        def texts() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keys.append(batch["_key"])
+                yield batch[["_text"]]
+
+        for made in run(texts()):
+            yield pd.DataFrame({"_key": keys.pop(0).tolist(), "entities": made["entities"].tolist()})
+
+    return keyed
+
+
+@stage("line_extractor")
+def line_extractor(df: DataFrame, name: str, split_lines: bool = True, context: int = 10) -> DataFrame:
+    """Entities by a registered model that reads lines: ``start`` and ``end`` are tokens of the line.
+
+    Each distinct text is split and each distinct line predicted once. ``start_char`` and ``end_char`` are moved to the whole
+    text, contexts are the ``context`` tokens of the line on both sides, and the list of entities is
+    written anew.
+    """
+    lines = text.split_lines(F.col("text")) if split_lines else F.array("text")
+    rows = df.drop("entities").withColumn("_row", _digest(F.col("text")))
+    texts = rows.where("text is not null").groupBy("_row").agg(F.any_value("text").alias("text"))
+    each = texts.select("_row", F.posexplode(F.arrays_zip(lines.alias("line"), text.line_offsets(lines).alias("at"))).alias("_n", "x")).select("_row", "_n", F.col("x.line").alias("text"), F.col("x.at").alias("_at"))
+    found = extractor(each, name)
+    words = text.whitespace_tokens(F.col("text"))
+    around = lambda e: spans.token_context(words, e["start"], e["end"], context)
+    moved = F.transform("entities", lambda e: e.withField("start_char", (e["start_char"] + F.col("_at")).cast("int")).withField("end_char", (e["end_char"] + F.col("_at")).cast("int"))
+        .withField("context_pre", around(e)["pre"]).withField("context_post", around(e)["post"]))
+    whole = found.select("_row", "_n", moved.alias("e")).groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "e"))), lambda x: x["e"])).alias("entities"))
+    return rows.join(whole, "_row", "left").drop("_row").withColumn("entities", F.coalesce("entities", F.array().cast(ENTITIES)))
 
 
 @stage("filter_entities")
@@ -161,5 +205,39 @@ ANONYMIZE = Pipeline({"preprocess": [("split_paragraphs", {}), ("normalize_white
 
 
 def infer_distinct(df: DataFrame, key: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a costly stage once a distinct key and join the result back."""
-    return df.join(run(df.select(key).distinct()), key, "left")
+    """Apply a costly stage once a distinct text and join the result back by a digest of it."""
+    keyed = df.withColumn("_key", _digest(F.col(key)))
+    distinct = keyed.where(F.col(key).isNotNull()).groupBy("_key").agg(F.any_value(key).alias(key))
+    return keyed.join(run(distinct).drop(key), "_key", "left").drop("_key")
+
+
+def save_model(spark, folder: str, name: str, content: bytes) -> None:
+    """Keep a model's bytes under a name in a folder that driver and executors share."""
+    spark.createDataFrame([(name, bytearray(content))], "name string, content binary").coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def load_model(spark, folder: str, name: str) -> bytes:
+    return bytes(spark.read.parquet(f"{folder.rstrip('/')}/{name}").first()["content"])
+
+
+@dataclass
+class Training:
+    """Models by name that are fitted one after the other on the same rows.
+
+    A model has ``fit(df)``, which may do nothing, ``dumps()`` and a class method ``loads(bytes)``.
+    """
+
+    models: dict[str, object] = field(default_factory=dict)
+
+    def fit(self, df: DataFrame) -> Training:
+        for model in self.models.values():
+            model.fit(df)
+        return self
+
+    def save(self, spark, folder: str) -> None:
+        for name, model in self.models.items():
+            save_model(spark, folder, name, model.dumps())
+
+    @staticmethod
+    def load(spark, folder: str, kinds: dict[str, type]) -> Training:
+        return Training({name: kind.loads(load_model(spark, folder, name)) for name, kind in kinds.items()})

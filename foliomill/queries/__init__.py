@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entities, labels, other, relational, similarity, text
+from . import entities, files, labels, other, relational, similarity, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "entities", "labels", "other", "relational", "similarity", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "entities", "files", "labels", "other", "relational", "similarity", "text"]

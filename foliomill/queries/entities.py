@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import dates, rules, spans
-from ..plans.pipeline import ANONYMIZE
+from ..functions import dates, rules, spans, text
+from ..operators import alignment, models
+from ..plans.pipeline import ANONYMIZE, EXTRACTORS, Training, annotations_to_predictions, extractor, line_extractor
 from .registry import query, sql_list
-from .text import PARAGRAPHS, fold_sql
+from .text import LINES, PARAGRAPHS, fold_sql
 
 _EVERY = "|".join(f"(?:{p})" for p in spans.SHAPES.values()).replace("'", "''")
 _NAME = "CASE " + " ".join(f"WHEN regexp_full_match(hit, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for label, p in spans.SHAPES.items()) + " END"
@@ -81,7 +86,7 @@ def entity_clean(t):
 
 @query(f"WITH {_sql(SPANS, 'doc_id')} SELECT doc_id, count(*) AS n FROM spans WHERE label IN ('IP', 'TELEFONO') GROUP BY doc_id")
 def entity_filter(t):
-    kept = F.filter(spans.extract_spans(F.col("text")), lambda e: e["label"].isin("IP", "TELEFONO"))
+    kept = text.filter_entities(spans.extract_spans(F.col("text")), enable=["IP", "TELEFONO"])
     return t.documents.select("doc_id", F.size(kept).cast("long").alias("n")).where("n > 0")
 
 
@@ -94,7 +99,7 @@ def entity_context(t):
 
 @query(f"WITH {_sql(SPANS, 'doc_id')} SELECT doc_id FROM spans GROUP BY doc_id HAVING bool_or(label = 'CORREO_ELECTRONICO')")
 def has_label(t):
-    return t.documents.where(F.exists(spans.extract_spans(F.col("text")), lambda e: e["label"] == "CORREO_ELECTRONICO")).select("doc_id")
+    return t.documents.where(text.has_label(spans.extract_spans(F.col("text")), "CORREO_ELECTRONICO")).select("doc_id")
 
 
 _RULINGS = ["No hacer lugar al pedido", "hacer lugar a la excepcion", "RECHAZAR el planteo", "se rechaza lo pedido", "declarar inadmisible el recurso", "no admitir la prueba", "fijar audiencia"]
@@ -188,10 +193,12 @@ def article_indirect_map(t):
     return t.orders.select("o_orderkey", rules.indirect_law(_pick(list(rules.BY_CONDUCT)), conducts).alias("law"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'penal' WHEN 1 THEN 'faltas' ELSE 'contravencional' END AS subject FROM orders")
+_LAWS = [*rules.SUBJECTS, "ley_0"]
+
+
+@query("SELECT o_orderkey, CASE WHEN l IN ('codigo_contravencional') THEN 'contravencional' WHEN l = 'ley_1217' THEN 'ejecucion_de_multa' WHEN l = 'ley_23098' THEN 'habeas_corpus' WHEN l = 'ley_451' THEN 'faltas' WHEN l <> 'ley_0' THEN 'penal' END AS subject FROM (SELECT o_orderkey, " + sql_list(_LAWS) + f"[1 + (o_orderkey % {len(_LAWS)})] AS l FROM orders)")
 def subject_map(t):
-    law = F.get(F.array(F.lit("ley_23737"), F.lit("ley_451"), F.lit("codigo_contravencional")), F.col("o_orderkey") % 3)
-    return t.orders.select("o_orderkey", rules.subject(law).alias("subject"))
+    return t.orders.select("o_orderkey", rules.subject(_pick(_LAWS)).alias("subject"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN day(o_orderdate) > 9 AND month(o_orderdate) > 9 THEN d || ',' || d ELSE d END WHEN 3 THEN '' ELSE d END AS dates FROM (SELECT *, strftime(o_orderdate, '%d/%m/%Y') AS d FROM orders)""")
@@ -215,3 +222,137 @@ def spans_map(t):
     kept = F.create_map(F.lit("a"), one, F.lit("b"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))))
     made = spans.set_spans(kept, "b", one)
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.map_keys(made)), ",").alias("keys"), F.get(made["b"], 0)["end"].alias("n"))
+
+
+def _article_sql() -> str:
+    direct = _direct_sql().split("SELECT o_orderkey, CASE ", 1)[1].rsplit(" AS law", 1)[0]
+    whens = " ".join(f"WHEN regexp_matches(a, '{a}\\b') AND list_contains(c, '{c}') THEN '{law}'" for a, laws in rules.BY_CONDUCT.items() for c, law in laws.items())
+    return _direct_sql().split("SELECT o_orderkey, CASE ", 1)[0] + f", k AS (SELECT *, ['homicidio', 'lesiones', 'cuida_coche'] AS c FROM n) SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN coalesce(CASE {direct}, CASE {whens} END) END AS law FROM k"
+
+
+@query(_article_sql())
+def article_subcategory(t):
+    """The law of an article entity; other labels get none."""
+    conducts = F.array(F.lit("homicidio"), F.lit("lesiones"), F.lit("cuida_coche"))
+    label = F.when(F.col("o_orderkey") % 2 == 0, "ART_INFRINGIDO").otherwise("OTRO")
+    made = rules.article_subclass(label, _pick(_TEXTS), F.lit(None).cast("array<string>"), conducts)
+    return t.orders.select("o_orderkey", F.get(made, 0).alias("law"))
+
+
+@query(f"WITH {_sql(SPANS, 'doc_id')}, {_sql(REDACT, 'doc_id').replace('{left}', '<').replace('{right}', '>')} SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(raw, d.text), ' +', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents d LEFT JOIN joined USING (doc_id)")
+def unescape_redacted(t):
+    """Labels as text files have them, from the escaped form."""
+    redacted = spans.redact(F.col("text"), spans.extract_spans(F.col("text")))
+    return t.documents.select("doc_id", F.sha2(spans.unescape_labels(redacted), 256).alias("digest"))
+
+
+_ENTITY_OF = "struct<label:string,text:string>"
+
+
+@query(r"SELECT conv_id, turn, len(list_filter(regexp_extract_all(text, '\S+'), lambda w: NOT regexp_matches(w, '^[!-/:-@\[-`{-~]*$')))::INT AS kept, len(regexp_extract_all(text, '\S+'))::INT AS every FROM (SELECT conv_id, turn, text || ' -- . (x) !?' AS text FROM conversations)")
+def punctuation_filter(t):
+    words = text.whitespace_tokens(F.concat("text", F.lit(" -- . (x) !?")))
+    made = F.transform(words, lambda w: F.struct(F.lit("X").alias("label"), w.alias("text")).cast(_ENTITY_OF))
+    return t.conversations.select("conv_id", "turn", F.size(text.drop_punctuation(made)).alias("kept"), F.size(text.drop_punctuation(made, legacy=True)).alias("every"))
+
+
+class NumberTagger:
+    """An extractor of whole-number tokens, as a model that reads one line would be."""
+
+    def predict(self, texts: list[str]) -> list[list[dict]]:
+        out = []
+        for line in texts:
+            words = list(re.finditer(r"\S+", line))
+            out.append([{"start": i, "end": i + 1, "label": "NUM", "text": m.group(), "start_char": m.start(), "end_char": m.end(), "subclass": [], "method": "tagger", "score": 1.0} for i, m in enumerate(words) if m.group().isascii() and m.group().isdigit()])
+        return out
+
+
+EXTRACTORS.setdefault("numbers", NumberTagger)
+
+_WORDS_SQL = rf"""
+w AS (SELECT doc_id, i, x, base, regexp_extract_all(x, '\S+') AS ws, string_split_regex(x, '\S+') AS gaps FROM (SELECT doc_id, i, x, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM ({LINES}))),
+k AS (SELECT doc_id, i, base, ws, unnest(ws) AS word, unnest(gaps[1:len(ws)]) AS gap, generate_subscripts(ws, 1) AS p FROM w WHERE len(ws) > 0),
+placed AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, i ORDER BY p) AS stop FROM k)
+SELECT doc_id, (p - 1)::INT AS "start", (base + stop - length(word))::INT AS start_char, (base + stop)::INT AS end_char, word AS text, array_to_string(ws[greatest(p - 10, 1):p - 1], ' ') AS context_pre, array_to_string(ws[p + 1:p + 10], ' ') AS context_post FROM placed WHERE regexp_full_match(word, '[0-9]+')
+"""
+
+
+def _entities(df):
+    return df.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.start", "e.start_char", "e.end_char", "e.text", "e.context_pre", "e.context_post")
+
+
+@query(f"WITH {_WORDS_SQL}")
+def extractor_lines(t):
+    """A line model over documents: offsets in the whole text, ten tokens of the line around."""
+    return _entities(line_extractor(t.documents.select("doc_id", "text"), "numbers"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(text, '\\S+'), lambda w: regexp_full_match(w, '[0-9]+')))::INT AS n FROM documents")
+def extractor_batch(t):
+    """A model over whole texts, each distinct one predicted once; annotations then stand in for predictions."""
+    found = extractor(t.documents.select("doc_id", "text"), "numbers")
+    told = annotations_to_predictions(found.withColumnRenamed("entities", "annotations"))
+    return told.select("doc_id", F.size("entities").alias("n"))
+
+
+def _conv() -> models.ConvClassifier:
+    one = lambda *shape: np.ones(shape)
+    embedding = np.array([[((7 * i) % 13 - 6) / 6.0] for i in range(11)])
+    return models.ConvClassifier(embedding, (one(1, 1, 3), np.zeros(1)), (one(1, 1, 1), np.zeros(1)), (np.array([[0.0], [1.0]]), np.zeros(2)))
+
+
+@query("WITH x AS (SELECT conv_id, turn, list_concat(list_transform(regexp_extract_all(text, '\\S+')[1:128], lambda w: length(w) % 11), list_transform(range(greatest(0, 128 - len(regexp_extract_all(text, '\\S+')))), lambda i: 0)) AS ids FROM conversations), e AS (SELECT conv_id, turn, list_concat(list_concat([0.0], list_transform(ids, lambda i: ((7 * i) % 13 - 6) / 6.0)), [0.0]) AS v FROM x) SELECT conv_id, turn, round(1 / (1 + exp(-greatest(0, list_max(list_transform(range(2, 130), lambda i: v[i - 1] + v[i] + v[i + 1]))))), 6) AS probability FROM e")
+def conv_scores(t):
+    """The forward pass of a small convolutional classifier over token ids."""
+    ids = F.transform(F.slice(text.whitespace_tokens(F.col("text")), 1, 128), lambda w: F.length(w) % 11)
+    padded = F.concat(ids, F.array_repeat(F.lit(0), 128 - F.size(ids)))
+    made = models.score(t.conversations.select("conv_id", "turn", padded.alias("ids")), _conv())
+    return made.select("conv_id", "turn", F.round("probability", 6).alias("probability"))
+
+
+def _encoder():
+    return lambda texts: np.array([[float(len(x)), float(x.count("e")), float(x.count(" "))] for x in texts])
+
+
+@query("SELECT p_partkey AS option_id, length(p_name)::DOUBLE AS chars, (length(p_name) - length(replace(p_name, 'e', '')))::DOUBLE AS es, (length(x) - length(replace(x, ' ', '')))::DOUBLE AS blanks FROM (SELECT p_partkey, p_name, replace(p_name, '_', ' ') AS x FROM part)")
+def option_vectors(t):
+    """Options encoded by name, each distinct text once."""
+    made = models.build_options(t.part.select(F.col("p_partkey").alias("option_id"), F.col("p_name").alias("name")), _encoder)
+    return made.select("option_id", *[F.get("embedding", i).alias(n) for i, n in enumerate(("chars", "es", "blanks"))])
+
+
+class MeanLength:
+    """A model of one number, fitted on Spark."""
+
+    def __init__(self, mean: float = 0.0):
+        self.mean = mean
+
+    def fit(self, df) -> None:
+        self.mean = df.agg(F.avg(F.length("text"))).first()[0] or 0.0
+
+    def dumps(self) -> bytes:
+        return json.dumps(self.mean).encode()
+
+    @classmethod
+    def loads(cls, content: bytes):
+        return cls(json.loads(content))
+
+
+@query("SELECT 'documents' AS name, round(avg(length(text)), 6) AS mean FROM documents")
+def model_round_trip(t):
+    """A model fitted, saved and loaded again."""
+    from .files import work_folder
+
+    folder = work_folder(t.spark)
+    Training({"documents": MeanLength()}).fit(t.documents).save(t.spark, folder)
+    loaded = Training.load(t.spark, folder, {"documents": MeanLength}).models
+    return t.spark.createDataFrame([(n, round(m.mean, 6)) for n, m in loaded.items()], "name string, mean double")
+
+
+@query()
+def token_targets(t):
+    """What stands for each token in the redacted text."""
+    rows = t.conversations.select(F.xxhash64("conv_id", "turn", "text").alias("k"), "text").dropDuplicates(["k"])
+    tokens = rows.select("k", F.posexplode(text.whitespace_tokens(F.col("text"))).alias("tok_idx", "token"))
+    redacted = rows.select("k", spans.redact(F.col("text"), spans.extract_spans(F.col("text")), escape=False).alias("text"))
+    return alignment.place_targets(tokens, redacted, ["k"])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, matching
+from ..functions.text import explode_paragraphs, whitespace_tokens
+from ..operators import alignment, labels, matching
 from ..operators.windows import with_island
 from ..sources.annotations import conll_text, pair_text
 from .registry import query, sql_list, sql_map
+from .text import PARAGRAPHS
 
 _RULE = "CASE WHEN regexp_matches(token, '[0-9]') THEN 'NUM' WHEN regexp_matches(token, '^[A-Z]') THEN 'PER' WHEN regexp_matches(token, '^(of|in|the)$') THEN 'LOC' END"
 TOKENS = f"""
@@ -139,3 +141,35 @@ def decision_category(t):
 def option_audit(t):
     found = labels.bio_entities(tagged(t), "tag", "token", KEYS, "tok_idx")
     return matching.option_audit(found, "label", F.lower("text")).select("label", "n_texts")
+
+
+_PARA_TOKENS = f"{PARAGRAPHS}, pt AS (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, '\\S+')) AS token, (generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1)::INT AS tok_idx FROM paragraphs)"
+_LINES_OF = f"""{_PARA_TOKENS},
+r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, tok_idx) + dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx) - 2)::INT AS line FROM pt),
+lines AS (SELECT doc_id, line, token FROM r UNION ALL SELECT doc_id, line - 1, '' FROM r WHERE tok_idx = 0 AND line > 0)"""
+
+
+def paragraph_tokens(t):
+    rows = explode_paragraphs(t.documents)
+    return rows.select("doc_id", "para_idx", F.posexplode(whitespace_tokens(F.col("text"))).alias("tok_idx", "token")).withColumn("label", F.lit("O"))
+
+
+@query(f"WITH {_LINES_OF} SELECT * FROM lines")
+def separator_rows(t):
+    """Token tables with an empty row between paragraphs."""
+    return alignment.with_separators(paragraph_tokens(t), ["doc_id"], "para_idx").select("doc_id", "line", "token")
+
+
+@query(f"WITH {_PARA_TOKENS} SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1)::INT AS para_idx, tok_idx, token FROM pt")
+def separator_round_trip(t):
+    """Paragraphs found again from the empty rows."""
+    rows = alignment.with_separators(paragraph_tokens(t), ["doc_id"], "para_idx")
+    return alignment.from_separators(rows, ["doc_id"]).select("doc_id", "para_idx", "tok_idx", "token")
+
+
+@query(f"WITH {_PARA_TOKENS}, bad AS (SELECT doc_id, para_idx, bool_or(contains(token, 'q')) AS b FROM pt GROUP BY ALL) SELECT doc_id, count(*) AS n FROM pt JOIN bad USING (doc_id, para_idx) WHERE NOT b GROUP BY doc_id")
+def drop_ambiguous_rows(t):
+    """Without the paragraphs, between empty rows, that hold a bad token."""
+    rows = alignment.with_separators(paragraph_tokens(t), ["doc_id"], "para_idx")
+    kept = alignment.drop_ambiguous(rows, F.col("token").contains("q"), ["doc_id"]).where("token <> ''")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import spans
+from ..functions import spans, structs
 from ..functions.normalize import enforce_fields, normalize_headers
 from ..functions.udf import content_uuid
 from ..operators import alignment, augment, labels, matching
@@ -100,9 +100,9 @@ def content_ids(t):
     return ids.select("doc_id", "paragraph_id")
 
 
-@query("SELECT doc_id, sha256('v1' || chr(1) || lang || chr(1) || text) AS cache_key FROM documents")
+@query("SELECT doc_id, sha256('v1' || chr(1) || '{\"lang\":' || to_json(lang) || ',\"text\":' || to_json(text) || '}') AS cache_key FROM documents")
 def cache_keys(t):
-    return t.documents.select("doc_id", F.sha2(F.concat_ws("\x01", F.lit("v1"), "lang", "text"), 256).alias("cache_key"))
+    return t.documents.select("doc_id", structs.cache_key("v1", "lang", "text").alias("cache_key"))
 
 
 @query()
@@ -143,5 +143,45 @@ def event_windows(t):
 
 @query("SELECT 'O' AS tag, 0::INT AS code UNION ALL SELECT p || l, (2 * i - CASE p WHEN 'B-' THEN 1 ELSE 0 END)::INT FROM (SELECT event_type AS l, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)), (VALUES ('B-'), ('I-')) v(p)")
 def label_codes(t):
-    names = [r[0] for r in t.events.select("event_type").distinct().collect()]
-    return t.spark.createDataFrame(sorted(labels.label_codes(names).items()), "tag string, code int")
+    return labels.code_table(t.events.select(F.col("event_type").alias("label")))
+
+
+@query("SELECT o_orderkey, '\"' || o_orderkey || '\"|' || o_custkey || '|\"' || o_orderkey || 'x\"' AS found FROM orders")
+def nested_values(t):
+    """All values of a field, at any depth of a JSON text."""
+    raw = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("k"), F.array(F.struct(F.lit(1).alias("a"), F.struct(F.col("o_custkey").alias("k")).alias("b")), F.struct(F.lit(2).alias("a"), F.lit(None).alias("b"))).alias("list"), F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")).alias("k")).alias("last")))
+    return t.orders.select("o_orderkey", F.array_join(structs.values_of(raw, "k"), "|").alias("found"))
+
+
+@query("SELECT o_orderkey, o_custkey AS a_b_c, o_totalprice::DOUBLE AS a_d, 'key:' || o_custkey || ',' || o_totalprice::DOUBLE::VARCHAR AS leaves FROM (SELECT o_orderkey, o_custkey, floor(o_totalprice)::BIGINT + 0.5 AS o_totalprice FROM orders)")
+def flat_values(t):
+    """Nested fields as columns, and as dotted paths of a JSON text."""
+    price = (F.floor("o_totalprice") + 0.5).cast("double")
+    df = t.orders.select("o_orderkey", F.struct(F.struct(F.col("o_custkey").alias("c")).alias("b"), price.alias("d")).alias("a"))
+    leaves = structs.flatten_json(F.to_json("a"))
+    flat = structs.flatten_structs(df).join(df.select("o_orderkey", F.concat(F.lit("key:"), leaves["b.c"], F.lit(","), leaves["d"]).alias("leaves")), "o_orderkey")
+    return flat.select("o_orderkey", "a_b_c", "a_d", "leaves")
+
+
+@query("SELECT o_orderkey, '{\"__type__\": \"datetime.date\", \"args\": [' || year(o_orderdate) || ', ' || month(o_orderdate) || ', ' || day(o_orderdate) || ']}' AS encoded, o_orderdate::DATE AS decoded FROM orders")
+def typed_json(t):
+    """Dates in JSON that carry their type, and back."""
+
+    @F.pandas_udf("string")
+    def encoded(days):
+        return days.map(lambda d: None if d is None else structs.encode(d))
+
+    @F.pandas_udf("date")
+    def decoded(raw):
+        return raw.map(lambda x: None if x is None else structs.decode(x))
+
+    made = t.orders.select("o_orderkey", encoded(F.to_date("o_orderdate")).alias("encoded"))
+    return made.select("o_orderkey", "encoded", decoded("encoded").alias("decoded"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT + 2 AS n, (length(text) - len(string_split(text, chr(10))) + 1 + 2)::BIGINT AS chars FROM documents")
+def collapsed_lists(t):
+    """Lists of lists of lists as one list."""
+    nested = F.array(F.array(F.split("text", "\n"), F.lit(None).cast("array<string>")), F.array(F.array(F.lit("x"), F.lit("y"))))
+    one = structs.collapse_lists(nested, 2)
+    return t.documents.select("doc_id", one.alias("one")).select("doc_id", F.size("one").alias("n"), F.aggregate("one", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))

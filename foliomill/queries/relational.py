@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import structs
 from ..operators import aggregates, labels, matching, store, windows
 from .registry import query, sql_list
 
@@ -126,7 +127,7 @@ def collapse_single(t):
 
 @query("SELECT l_returnflag, count(l_extendedprice) AS count, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS std, min(l_extendedprice) AS min, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS p{round(100 * p)}" for p in aggregates.PERCENTILES) + ", max(l_extendedprice) AS max FROM lineitem GROUP BY l_returnflag")
 def describe_percentiles(t):
-    out = aggregates.describe(t.lineitem, "l_extendedprice", ["l_returnflag"])
+    out = aggregates.describe_binned(t.lineitem, "l_extendedprice", ["l_returnflag"])
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("p") or c in ("mean", "std")})
 
 
@@ -182,7 +183,7 @@ def unique_objects(t):
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
 def json_path_get(t):
-    return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
+    return t.events.select("event_id", structs.json_path(F.col("props"), ["k"], "none").alias("k"), structs.json_path(F.col("props"), ["missing"], "none").alias("missing"))
 
 
 @query("SELECT n_regionkey, count(*) AS n_rows, bool_or(n_nationkey > 20) AS late, array_to_string(list_sort(list(n_name)), ',') AS n_name FROM nation GROUP BY n_regionkey")
@@ -257,9 +258,9 @@ def membership_audit(t):
     return matching.membership(t.part, t.part.where("p_size < 5"), b, "p_brand", F.lower)
 
 
-@query("SELECT (SELECT count(*) FROM part) AS a, count(*) AS b FROM part, range(1, 4)")
+@query("SELECT p_partkey, i::INT AS copy_no FROM part, range(1, 4) r(i)")
 def n_copies(t):
-    return t.part.agg(F.count("*").alias("a")).withColumn("b", F.lit(matching.copies(t.part, 3).count()).cast("long"))
+    return matching.copies(t.part.select("p_partkey"), 3)
 
 
 _RULES = ["ECONOMY", "BRASS", "STEEL$", "^STANDARD", "TIN"]
@@ -382,7 +383,18 @@ def sampling_weights(t):
     return t.labels.groupBy(F.col("quality").alias("label")).agg((1.0 / F.count("*")).alias("weight"))
 
 
-@query()
+_DRAWS = """
+WITH n AS (SELECT quality, 1.0 / count(*) AS weight FROM labels GROUP BY quality),
+w AS (SELECT doc_id, quality, weight::DOUBLE AS weight, md5(doc_id::VARCHAR) AS h FROM labels JOIN n USING (quality)),
+b AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS bucket FROM w),
+l AS (SELECT *, sum(weight) OVER (ORDER BY bucket, h, doc_id) AS high FROM b),
+t AS (SELECT sum(weight) AS total FROM b),
+d AS (SELECT i AS draw, ('0x' || substr(md5('7:' || i::VARCHAR), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 * total AS place FROM range(0, 1000) r(i), t)
+SELECT draw, doc_id, quality FROM d ASOF JOIN (SELECT *, high - weight AS low FROM l) x ON d.place >= x.low
+"""
+
+
+@query(_DRAWS)
 def weighted_resample(t):
     weights = t.labels.join(sampling_weights(t).withColumnRenamed("label", "quality"), "quality")
     return matching.weighted_resample(weights, "weight", "doc_id", 1000).select("draw", "doc_id", "quality")
@@ -406,3 +418,107 @@ def entity_scores(t):
     guess = truth.withColumn("label", F.when(F.col("last_pos") % 5 == 0, "LOC").otherwise(F.col("label")))
     out = aggregates.entity_scores(truth, guess)
     return out.select("label", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("SELECT c.conv_id, c.turn, c.role, r.n FROM conversations c LEFT JOIN (SELECT conv_id, turn, max(length(text)) AS n FROM conversations WHERE turn % 2 = 0 GROUP BY ALL) r ON r.conv_id = c.conv_id AND r.turn = c.turn")
+def left_join_two_keys(t):
+    right = t.conversations.where("turn % 2 = 0").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    return matching.left_with_metadata(t.conversations.select("conv_id", "turn", "role"), right, ["conv_id", "turn"], [F.desc("n")])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, o_custkey FROM lineitem JOIN (SELECT o_orderkey, o_custkey, (1 + o_custkey % 3)::INT AS line FROM orders) ON l_orderkey = o_orderkey AND l_linenumber = line")
+def inner_join_two_keys(t):
+    line = (F.col("o_custkey") % 3 + 1).cast(t.lineitem.schema["l_linenumber"].dataType)
+    right = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), line.alias("l_linenumber"), "o_custkey")
+    return matching.inner_with_metadata(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), right, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT a.doc_id AS copy_id, b.doc_id AS original_id FROM (SELECT doc_id, sha256(text || 'x') AS hash, sha256(text) AS original_hash FROM documents WHERE doc_id % 2 = 0) a JOIN (SELECT doc_id, sha256(text) AS hash FROM documents) b ON a.original_hash = b.hash")
+def sample_lineage(t):
+    """Augmented samples and the samples that they were made of."""
+    originals = t.documents.select(F.col("doc_id").alias("original_id"), F.sha2("text", 256).alias("hash"))
+    copies = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("copy_id"), F.sha2(F.concat("text", F.lit("x")), 256).alias("hash"), F.sha2("text", 256).alias("original_hash"))
+    return matching.lineage(copies, originals).select("copy_id", "original_id")
+
+
+@query("SELECT 'head' AS part, o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20) UNION ALL SELECT 'tail', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20) UNION ALL SELECT 'sample', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey::VARCHAR), o_orderkey LIMIT 50)")
+def head_tail_sample(t):
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    parts = {"head": windows.first_rows(rows, [F.col("o_totalprice"), F.col("o_orderkey")], 20), "tail": windows.last_rows(rows, ["o_totalprice", "o_orderkey"], 20), "sample": windows.sample_rows(rows, "o_orderkey", 50)}
+    head, tail, sample = (df.select(F.lit(name).alias("part"), "o_orderkey") for name, df in parts.items())
+    return head.union(tail).union(sample)
+
+
+@query(f"WITH c AS ({_CELLS}) SELECT * FROM c WHERE prediction = '1'")
+def store_get(t):
+    return store.get(_cells(t), "prediction", "1")
+
+
+_DOCS = "SELECT DISTINCT conv_id AS id, 'conversation ' || conv_id AS name FROM conversations"
+
+
+def _documents(t):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    new = t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit("conversation "), F.first("conv_id").cast("string")).alias("name"), ids.alias("paragraph_ids"))
+    kind = t.conversations.schema["conv_id"].dataType.simpleString()
+    empty, links = t.spark.createDataFrame([], f"id {kind}, name string"), t.spark.createDataFrame([], f"document_id {kind}, paragraph_id string, `order` int")
+    return store.create_documents(empty, links, new)
+
+
+@query(f"SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN id % 5 = 0 THEN 1 ELSE (SELECT count(*) FROM conversations WHERE conv_id = id) END AS n_links FROM ({_DOCS})")
+def document_update(t):
+    """Documents renamed, and some given a new list of paragraphs."""
+    docs, links = _documents(t)
+    changes = docs.select("id", F.when(F.col("id") % 3 == 0, "renamed").alias("name"), F.when(F.col("id") % 5 == 0, F.array(F.lit("only"))).alias("paragraph_ids")).where("name is not null or paragraph_ids is not null")
+    docs, links = store.update_documents(docs, links, changes)
+    return docs.join(links.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n_links")), "id").select("id", "name", "n_links")
+
+
+@query("SELECT conv_id AS document_id, 'conversation ' || conv_id AS name, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1)::INT AS \"order\", role AS paragraph_id, 'said by ' || role AS text FROM conversations")
+def document_paragraphs(t):
+    """Documents and paragraphs, many to many, read through the table of links."""
+    docs, links = _documents(t)
+    paragraphs = t.conversations.select(F.col("role").alias("id"), F.concat(F.lit("said by "), "role").alias("text")).distinct()
+    return store.document_paragraphs(docs, links, paragraphs)
+
+
+@query(f"WITH c AS (SELECT *, 'kept ' || id AS note FROM ({_CELLS})), u AS (SELECT id, arg_max(prediction, ord) FILTER (prediction IS NOT NULL) AS p FROM ({_UPDATES}) GROUP BY id) SELECT coalesce(c.id, u.id) AS id, coalesce(u.p, c.prediction) AS prediction, c.validation, c.note FROM c FULL JOIN u ON c.id = u.id")
+def store_merge_columns(t):
+    """Columns that an update doesn't name stay; a key that is updated several times stays one row."""
+    table = _cells(t).withColumn("note", F.concat(F.lit("kept "), F.col("id").cast("string")))
+    return store.merge(table, _updates(t), "id", ["prediction"], "ord")
+
+
+@query(f"WITH c AS ({_CELLS}), u AS (SELECT id, arg_max(prediction, ord) FILTER (prediction IS NOT NULL) AS p FROM ({_UPDATES}) GROUP BY id) SELECT c.id, coalesce(u.p, c.prediction) AS prediction, c.validation FROM c LEFT JOIN u ON c.id = u.id")
+def store_update_repeats(t):
+    """Several updates of one key, the last non-null value counts."""
+    return store.update(_cells(t), _updates(t), "id", ["prediction"], ordinal="ord")
+
+
+@query(f"WITH c AS ({_CELLS}), u AS (SELECT id, arg_max(coalesce(prediction, 'none'), ord) AS p FROM ({_UPDATES}) GROUP BY id) SELECT * FROM c UNION ALL SELECT id, p, NULL FROM u WHERE id NOT IN (SELECT id FROM c)")
+def store_create_repeats(t):
+    """Several new rows of one key, the last one counts."""
+    return store.create(_cells(t), _updates(t).select("id", "ord", F.coalesce("prediction", F.lit("none")).alias("prediction")), "id", ordinal="ord")
+
+
+@query("WITH x AS (SELECT quality AS truth, (CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END)::INT AS pred FROM labels JOIN documents USING (doc_id)), c AS (SELECT DISTINCT unnest([truth, pred]) AS label FROM x), s AS (SELECT label, count(*) FILTER (truth = label) AS support, count(*) FILTER (pred = label) AS claimed, count(*) FILTER (truth = label AND pred = label) AS hits FROM c, x GROUP BY label), r AS (SELECT support, CASE WHEN claimed > 0 THEN hits / claimed ELSE 0.0 END AS p, CASE WHEN support > 0 THEN hits / support ELSE 0.0 END AS r FROM s) SELECT round(avg(p), 9) AS precision, round(avg(r), 9) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 9) AS f1, sum(support)::BIGINT AS support FROM r")
+def macro_average(t):
+    out = aggregates.macro_average(aggregates.classification_report(_scored(t), "truth", "pred"))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("WITH x AS (SELECT quality AS truth, least(floor(n_chars / 8192.0 * 100), 100) AS step FROM labels JOIN documents USING (doc_id)), g AS (SELECT i AS k FROM range(0, 101) r(i)) SELECT k::INT AS step, round(coalesce(count(*) FILTER (truth = 1) / nullif(count(truth), 0), 0.0), 9) AS precision, round(count(*) FILTER (truth = 1) / (SELECT count(*) FROM x WHERE truth = 1), 9) AS recall FROM g LEFT JOIN x ON step >= k GROUP BY k")
+def threshold_sweep_percent(t):
+    """The sweep over hundredths."""
+    out = aggregates.threshold_sweep(_scored(t), "truth", "score", 100)
+    return out.select(F.round(F.col("threshold") * 100).cast("int").alias("step"), *[F.round(c, 9).alias(c) for c in ("precision", "recall")])
+
+
+@query("WITH e AS (SELECT vec_id, unnest(range(0, 8)) AS i, embedding FROM embeddings), s AS (SELECT (vec_id + i) % 8 AS truth, embedding[8 * i + 1:8 * i + 8] AS v FROM e WHERE i % 3 > 0) SELECT round(avg((list_position(v, list_max(v)) - 1 = truth)::INT), 9) AS accuracy, count(*) AS n_tokens FROM s")
+def token_accuracy(t):
+    """Positions with tag -100 don't count; a prediction is the class of the largest score."""
+    at = F.sequence(F.lit(0), F.lit(7))
+    scores = F.transform(at, lambda i: F.slice("embedding", 8 * i + 1, 8))
+    truth = F.transform(at, lambda i: F.when(i % 3 == 0, -100).otherwise((F.col("vec_id") + i) % 8).cast("int"))
+    out = aggregates.token_accuracy(t.embeddings.select(scores.alias("scores"), truth.alias("truth")), "scores", "truth")
+    return out.select(F.round("accuracy", 9).alias("accuracy"), "n_tokens")

@@ -22,8 +22,7 @@ pairs AS (SELECT item_id, doc_id, round(sum(bw.w * dw.w), 9) AS score FROM bw JO
 def tfidf_cosine_best_match(t):
     idf, _ = similarity.tfidf_fit(t.documents, "doc_id")
     items = similarity.tfidf_transform(t.benchmark, "item_id", idf)
-    docs = similarity.tfidf_transform(t.documents, "doc_id", idf)
-    return similarity.best_match(items, docs, "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return similarity.best_document(items, t.documents, "item_id", "doc_id", idf).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, round(avg(x), 6) AS x FROM e GROUP BY label, i), o AS (SELECT label AS option_id, list(x ORDER BY i) AS v FROM c GROUP BY label), s AS (SELECT vec_id AS query_id, option_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * v[i])), 9) AS score FROM embeddings, o), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, option_id)::INT AS rank FROM s) SELECT query_id, rank, option_id, round(score, 6) AS score FROM r WHERE rank <= 3")

@@ -105,10 +105,10 @@ def unescape_slashes(t):
     return t.pages.select("page_id", normalize.unescape_slashes(F.replace("url", F.lit("/"), F.lit("\\/"))).alias("url"))
 
 
-@query("SELECT c_custkey, lower(c_name) AS low, upper(c_name) AS up, upper(substr(c_name, 1, 1)) || lower(substr(c_name, 2)) AS capital FROM customer")
+@query("SELECT c_custkey, lower(c_name) AS low, upper(c_name) AS up, upper(substr(c_name, 1, 1)) || lower(substr(c_name, 2)) AS capital, c_name AS same, list_reduce(list_transform(string_split(c_mktsegment || ' of ' || c_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda a, b: a || ' ' || b) AS title FROM customer")
 def case_formats(t):
     f = lambda n: normalize.case_format(F.col("c_name"), n)
-    return t.customer.select("c_custkey", f("lower").alias("low"), f("upper").alias("up"), f("capitalize").alias("capital"))
+    return t.customer.select("c_custkey", f("lower").alias("low"), f("upper").alias("up"), f("capitalize").alias("capital"), f("identity").alias("same"), normalize.case_format(F.concat_ws(" of ", "c_mktsegment", "c_name"), "title").alias("title"))
 
 
 @query("SELECT page_id, replace(replace(url, 'http://', 'https://'), '.example.', '.invalid.') AS url FROM pages")
@@ -214,3 +214,9 @@ def subword_labels(t):
     ids = F.transform("f", lambda _, i: F.aggregate(F.slice("f", 1, i + 1), F.lit(0), lambda a, x: a + x) - 1)
     tags = F.transform(F.filter(F.arrays_zip("w", "f"), lambda x: x["f"] == 1), lambda x: F.length(x["w"]))
     return rows.select("conv_id", "turn", ids.alias("ids"), tags.alias("t")).select("conv_id", "turn", F.array_join(F.transform(text.subword_labels(F.col("ids"), F.col("t")), lambda x: x.cast("string")), " ").alias("tags"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 400 AND lang IN ('de', 'en') AND source NOT IN ('src1', 'src2')")
+def textual_filter(t):
+    """Rows by a predicate in words, with values bound by name."""
+    return text.query_filter(t.documents, "n_chars > @least AND lang IN @langs AND source NOT IN @sources", least=400, langs=["en", "de"], sources=["src1", "src2"]).select("doc_id", "n_chars")
