@@ -155,8 +155,11 @@ def normalize_runs(root: ET.Element) -> None:
         for a, b in zip(texts, texts[1:]):
             if a.text.endswith(" "):
                 b.text = b.text.lstrip(" ")
-        if texts:
-            texts[0].text, texts[-1].text = texts[0].text.lstrip(), texts[-1].text.rstrip()
+        for run in (texts, texts[::-1]):  # blanks at both ends, over as many runs as have nothing else
+            for t in run:
+                t.text = t.text.lstrip() if run is texts else t.text.rstrip()
+                if t.text:
+                    break
         for t in texts:
             t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
         for run in list(p.findall(f"{W}r")):

@@ -125,7 +125,10 @@ def text_blocks(content: bytes) -> list[tuple[int, int, float, float, str]]:
     if re.search(rb"/Encrypt\s+\d+", content):
         raise ValueError("encrypted PDF files aren't supported")
     objects, out = _objects(content), []
-    for number, head in enumerate(_pages(objects)):
+    pages = _pages(objects)
+    if not pages:
+        raise ValueError("a PDF file without pages")
+    for number, head in enumerate(pages):
         box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", head)
         height = float(box[4]) if box else float(PAGE[1])
         names = _resolve(objects, _resolve(objects, head, rb"/Resources") or head, rb"/Font") or _resolve(objects, head, rb"/Font")

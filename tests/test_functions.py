@@ -1,6 +1,7 @@
 """Column functions against hand-written values."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,37 @@ def test_clean_entity(spark):
 def test_content_uuid(spark):
     assert value(spark, content_uuid("t"), "hola") == text_to_uuid("hola")
     assert value(spark, content_uuid("t"), None) is None
+
+
+def test_greek_and_cyrillic_go_by_sound(spark):
+    texts = ["Ελλάδα ψυχή", "Москва Щука объезд", "Ñandú ß"]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(normalize.fold_accents(F.col("t")).alias("x")).collect()]
+    assert got == ["Ellada psukhe", "Moskva Shchuka obezd", "Nandu ss"]
+
+
+def test_bound_filters(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a' OR 1=1")], "n int, s string")
+    assert [r["n"] for r in text.query_filter(df, "n > @low AND s IN @names", low=0, names=["a"]).collect()] == [1]
+    assert [r["n"] for r in text.query_filter(df, "s = @x", x="a' OR 1=1").collect()] == [3]
+    assert text.query_filter(df, "s IN @none", none=[]).count() == 0
+    with pytest.raises(ValueError):
+        text.query_filter(df, "n > @low")
+
+
+def test_word_lists(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("de la # articles\nEl\n\nde\n")
+    words = text.read_words(spark, str(tmp_path / "stop.txt"))
+    assert words == ["de", "el", "la"]
+    assert spark.range(1).select(text.without_stop_words(F.array(F.lit("El"), F.lit("sol"), F.lit("de")), words).alias("x")).first()["x"] == ["sol"]
+
+
+def test_shapes_are_found_as_by_the_plain_search(spark):
+    import re
+
+    r = random.Random(2)
+    bits = ["ana@x.com", "a.b-c@d.org", "10.0.0.1", "+54 (011) 444-5555", "x", " ", "http://a.b/c?d=1", "12345678", "20-12345678-9", "1/2/2020", "3 de mayo de 2021", "12.345.678", "ab" * 20, "IPP 1234/2020-1", "'", "<", "@", ".com", "I", "9" * 25, "-", "é"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    plain = re.compile("|".join(f"(?:{p})" for p in spans.SHAPES.values()))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(spans.extract_spans(F.col("t")).alias("s"))
+    for t, row in zip(texts, df.collect()):
+        assert [(x["start"], x["end"]) for x in row["s"]] == [m.span() for m in plain.finditer(t)], t

@@ -1,8 +1,13 @@
 """Relational operators on small frames."""
 
+import random
+from collections import Counter
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.functions import text
 from foliomill.operators import aggregates, alignment, augment, labels, matching, similarity, store, windows
 from foliomill.plans.pipeline import ANONYMIZE, EXTRACTORS, Pipeline
 
@@ -93,12 +98,104 @@ def test_weighted_resample_follows_weights(spark):
     assert sum(counts.values()) == 2000 and 3 not in counts and 2.4 < counts[2] / counts[1] < 3.7
 
 
-def test_retrieve_checks_its_list(spark):
-    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
-    o = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "option_id int, embedding array<double>")
-    assert rows(similarity.retrieve(q, o, 1).select("option_id", "score"), "option_id") == [(2, 1.0)]
-    with pytest.raises(ValueError):
-        similarity.retrieve(q, o, 1, most_options=1)
+@pytest.mark.parametrize("block", [1 << 20, 16])
+def test_retrieve_in_blocks(spark, block):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "query_id int, embedding array<double>")
+    o = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "option_id int, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["option_id"], r["score"]) for r in similarity.retrieve(q, o, 2, block_bytes=block).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (3, 1.0), (2, 1): (1, 2.0), (2, 2): (2, 0.0)}
+    assert similarity.retrieve(q, o.where("false"), 2).count() == 0
+
+
+def test_distance_is_levenshtein():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(2))
+        most, d = r.randint(0, 12), plain(a, b)
+        assert matching.distance(a, b) == d and matching.distance(a, b, most) == (d if d <= most else None)
+
+
+def test_closest_paragraphs_against_all_pairs(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 20))) for _ in range(60)]
+    p = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts[:30])] + [(9, 99, "alone")], "doc_id int, para_idx int, text string")
+    q = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts[30:])], "doc_id int, pred_idx int, text string")
+    for size in (64, 2):
+        got = {(x["doc_id"], x["para_idx"]): (x["pred_idx"], x["cer"]) for x in matching.match_paragraphs(p, q, part_size=size).collect()}
+        assert got.pop((9, 99)) == (None, None) and len(got) == 30
+        for (doc, para), (pred, cer) in got.items():
+            every = [(matching.distance(texts[para], t) / max(1, len(texts[para])), i) for i, t in enumerate(texts[30:]) if i % 3 == doc]
+            assert (pytest.approx(cer), pred) == min(every)
+
+
+def test_resampling_follows_the_weights(spark):
+    df = spark.createDataFrame([(i, 3.0 if i < 10 else 1.0) for i in range(40)] + [(99, 0.0)], "k int, w double")
+    got = matching.weighted_resample(df, "w", "k", 6000).collect()
+    counts = Counter(r["k"] for r in got)
+    assert len(got) == 6000 and len({r["draw"] for r in got}) == 6000 and 99 not in counts
+    assert 0.4 < sum(counts[i] for i in range(10)) / 6000 < 0.6
+    assert matching.weighted_resample(df.where("w = 0"), "w", "k", 10).count() == 0
+
+
+def test_adjacent_groups_are_stitched(spark):
+    r = random.Random(5)
+    for values in ([r.choice("ab") for _ in range(500)], ["a"] * 300, [r.choice(["a", None]) for _ in range(200)], []):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+        got = [(x["v"], x["n"]) for x in sorted(aggregates.adjacent_groups(df, "v", ["i"]).collect(), key=lambda x: x["island"])]
+        assert got == [(k, len(list(g))) for k, g in groupby(values)]
+
+
+def test_binned_percentiles_are_exact(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, r.choice([r.gauss(0, 50), 7.0])) for k in ("x", "y", None) for _ in range(r.randint(1, 300))] + [("z", None)], "k string, v double")
+    a = {x["k"]: x for x in aggregates.describe(df, "v", ["k"]).collect()}
+    for bins in (4096, 3):
+        b = {x["k"]: x for x in aggregates.describe_binned(df, "v", ["k"], bins=bins).collect()}
+        for k in ("x", "y"):
+            assert {c: pytest.approx(a[k][c]) for c in df.sparkSession.createDataFrame([a[k]]).columns if c != "k"} == {c: b[k][c] for c in b[k].asDict() if c != "k"}
+        assert b["z"]["count"] == 0 and b["z"]["p50"] is None
+
+
+def test_fuzzy_keyword_against_all_windows(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcviolen ") for _ in range(r.randint(0, 30))) for _ in range(150)] + ["la bioencia", "violenci", "", "viol", "xviolenciax", "vioolenccia"]
+    got = [x["f"] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.fuzzy_contains(F.col("t"), "violencia").alias("f")).collect()]
+    for t, found in zip(texts, got):
+        assert found == any(matching.distance(t[i : i + n], "violencia") <= 2 for n in range(7, 12) for i in range(len(t) - n + 1)), t
+
+
+def test_store_keeps_columns_and_reduces_repeats(spark):
+    table = spark.createDataFrame([(1, "a", "n1"), (2, "b", "n2"), (None, "c", "n3")], "id int, prediction string, note string")
+    updates = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, None), (3, 1, "z"), (3, 2, "w")], "id int, ord int, prediction string")
+    merged = sorted((tuple(r) for r in store.merge(table, updates, "id", ["prediction"], "ord").collect()), key=str)
+    assert merged == sorted([(1, "y", "n1"), (2, "b", "n2"), (3, "w", None), (None, "c", "n3")], key=str)
+    assert store.update(table, updates, "id", ["prediction"], ordinal="ord").count() == 3
+    made = store.create(table, updates, "id", ordinal="ord")
+    assert sorted(str(r["id"]) for r in made.collect()) == ["1", "2", "3", "None"] and made.where("id = 3").first()["prediction"] == "w"
+    requests = spark.createDataFrame([(1,), (None,), (None,), (7,)], "id int")
+    got = store.predict_cached(requests, table, "id", lambda df: df.withColumn("prediction", F.lit("new"))).collect()
+    assert sorted((str(r["id"]), r["prediction"]) for r in got) == [("1", "a"), ("7", "new"), ("None", "new"), ("None", "new")]
+
+
+def test_targets_of_tokens():
+    tokens = "Juan Pérez vive en Calle 5 de Lima".split()
+    assert alignment.targets_of(tokens, "<PER> vive en <DIRECCION> de Lima") == ["<PER>", "<PER>", "vive", "en", "<DIRECCION>", "<DIRECCION>", "de", "Lima"]
+    assert alignment.targets_of([], "x") == []
+
+
+def test_code_table_is_that_of_the_labels(spark):
+    names = ["PER", "LOC", "NUM", "DNI", "LO"]
+    df = spark.createDataFrame([(n,) for n in [*names, "PER", None]], "label string")
+    assert {r["tag"]: r["code"] for r in labels.code_table(df).collect()} == labels.label_codes(names)
 
 
 def test_report_of_perfect_and_missing(spark):
