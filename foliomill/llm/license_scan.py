@@ -4,7 +4,8 @@ Rolling hashes of all word k-grams are joined on Spark to the positions of the s
 in the license templates. Each match votes for a diagonal, text position less template
 position; votes are added up by (document, template, diagonal), neighbouring diagonals are
 merged into one span, and each span is verified against the words of the text by the heaviest
-common subsequence with the template; of verified spans over the same words the best stays. Base phrases are counted word for word beside it.
+common subsequence with the template; of verified spans over the same words the one that
+explains most words stays. Base phrases are counted word for word beside it.
 
 The templates are a fixed table of this module, so the join broadcasts it. k-grams that occur
 in no template are left out before the rows reach the join (a semi-join by the same table),
@@ -36,28 +37,45 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: License notices in their customary wording, by label.
+#: License notices in their customary wording, by label. Fixed values.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", "licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
     ("gpl-2.0", "licensed under the gnu general public license version 2"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "licensed under the gnu affero general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
     ("cc-by-nc", "licensed under cc by nc 4.0"),
     ("cc-by-sa", "licensed under cc by sa 4.0"),
     ("cc-by", "licensed under cc by 4.0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form"),
 )
@@ -157,9 +175,9 @@ def _verify(rows: DataFrame, least: float) -> DataFrame:
                     low, high = max(0, s["low"]), min(len(hashes), s["high"])
                     coverage = coverage_of(s["template"], hashes[max(0, low - 2) : high + 2])
                     if coverage >= least:
-                        tried.append((-round(coverage, 9), -len(_WORDS[s["template"]]), low, high, TEMPLATES[s["template"]][0]))
+                        tried.append((-round(coverage * len(_WORDS[s["template"]]), 9), -coverage, low, high, TEMPLATES[s["template"]][0]))
                 found, taken = [], np.zeros(len(hashes), dtype=bool)
-                for c, _, low, high, label in sorted(tried):  # of spans over the same words, the best one stays
+                for _, c, low, high, label in sorted(tried):  # of spans over the same words, the one that explains most of them stays
                     if not taken[low:high].any():
                         taken[low:high] = True
                         found.append({"label": label, "coverage": -c, "low": low, "high": high})
