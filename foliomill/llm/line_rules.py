@@ -6,7 +6,8 @@ are counted beside it. Everything is row-local: no shuffle, and memory follows t
 
 Line rules, n being the line's words:
 
-* navigation: two or more menu separators;
+* navigation: two or more menu separators, or at most eight words of which more than half
+  are words of ``MENU`` (marks at their ends aside);
 * symbols: more than one symbol of ``#*$%&<>`` for four words;
 * shouting: more than one exclamation mark for two words;
 * boilerplate: at most 25 words, with one of the phrases of ``BOILERPLATE``;
@@ -32,6 +33,7 @@ from .words import LOWER, SPACED, bounded_batches, encode, gram_hashes, mix, sli
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = ("|", "•", "›", "»")
 CLOSING = (".", "!", "?", "…", '"', "”", "»", ")", "]", ":", ";")
+#: Phrases of pages rather than of texts, in the corpus's languages. Accented letters are lower case only.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -39,12 +41,41 @@ BOILERPLATE = (
     "lorem ipsum",
     "privacy policy",
     "skip to content",
+    "subscribe to our newsletter",
     "terms of service",
     "terms of use",
+    "we use cookies",
+    "alle rechte vorbehalten",
+    "cookie-einstellungen",
+    "datenschutzerkl",
+    "javascript aktivieren",
+    "newsletter abonnieren",
+    "wir verwenden cookies",
+    "zum inhalt springen",
+    "aller au contenu",
+    "conditions d'utilisation",
+    "nous utilisons des cookies",
+    "politique de confidentialit",
+    "tous droits réservés",
+    "aviso legal",
+    "derechos reservados",
+    "habilite javascript",
+    "ir al contenido",
+    "política de privacidad",
+    "utilizamos cookies",
+)
+#: Words that are links when a line has hardly any others, in the same languages.
+MENU = (
+    "about", "contact", "home", "login", "menu", "next", "previous", "register", "search", "share", "sitemap",
+    "anmelden", "impressum", "kontakt", "startseite", "suche", "teilen", "weiter",
+    "accueil", "connexion", "partager", "recherche", "suivant",
+    "buscar", "compartir", "contacto", "inicio", "siguiente",
 )
 
 _BOILER = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE))
 _SEPARATORS = re.compile("|".join(map(re.escape, SEPARATORS)).encode())
+_MENU = frozenset(x.encode() for x in MENU)
+_EDGES = b".,:;!?\"'()[]"
 _CLOSING = tuple(x.encode() for x in CLOSING)
 _MARKS = np.zeros(256, dtype=np.int64)
 _MARKS[list(SYMBOLS)] = 1
@@ -54,6 +85,8 @@ def failing_rule(line: bytes, n: int) -> str | None:
     """The first rule that removes a line of ``n`` words, repetition aside."""
     if len(_SEPARATORS.findall(line)) >= 2:
         return "navigation"
+    if n <= 8 and 2 * sum(w.strip(_EDGES) in _MENU for w in line.translate(LOWER).split()) > n:
+        return "navigation"
     if 4 * (len(line) - len(line.translate(None, b"#*$%&<>"))) > n:
         return "symbols"
     if 2 * line.count(b"!") > n:
@@ -161,6 +194,7 @@ WITH d AS (
 ), judged AS (
   SELECT *, dup
     OR len(regexp_extract_all(l, '[{"".join(SEPARATORS)}]')) >= 2
+    OR (n <= 8 AND 2 * len(list_filter(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda w: list_contains([{_sql_list(MENU)}], trim(w, '.,:;!?"''()[]')))) > n)
     OR 4 * len(regexp_extract_all(l, '[#*$%&<>]')) > n
     OR 2 * len(regexp_extract_all(l, '!')) > n
     OR (n <= 25 AND list_bool_or(list_transform([{_sql_list(BOILERPLATE)}], lambda p: contains(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p))))
