@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm import decontam, langid, mixing, sharding, shingles, simhash
-from foliomill.llm.scratch import materialize
+from foliomill.llm.scratch import discard, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document that is left (operator 3)."""
-    return sharding.assign(docs).drop("linked")
+    """Shard and slot of every document that is left; related ones share a shard as far as there is room (operator 3).
+
+    Equal texts are gone by now, so documents are linked by their least five-word shingle.
+    """
+    return sharding.assign(docs, group=sharding.least_shingle()).drop("linked")
 
 
 STAGES = [
@@ -57,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)  # only what a stage wrote is deleted, never the input
     return STAGES[-1][1](spark, docs, sf_dir)
