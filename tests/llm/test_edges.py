@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliomill.llm import decontam, langid, license_scan, line_rules, mixing, quality, sharding, simhash, url_filter, warc
+from foliomill.llm import decontam, langid, license_scan, line_rules, mixing, quality, sharding, shingles, simhash, url_filter, warc
 
 CLASHES = ["fingerprint", "component_id", "score", "shard", "slot", "kept", "labels", "lang_pred", "_row", "_text", "fp", "copies", "before", "_copies", "unit", "order", "stays", "label"]
 LONG = "palabra uno dos tres " * 20_000
@@ -57,6 +57,13 @@ def test_simhash(docs):
     assert [r["component_id"] for r in got.where("doc_id = 9").collect()] == [9, 9]
 
 
+def test_one_of_alike_rows_stays(docs):
+    for keep in (simhash.keep_one, shingles.keep_one):
+        kept = keep(docs)
+        assert kept.columns == docs.columns and keep(docs.where("false")).count() == 0
+        assert ids(kept).count((False, 9)) == 1 and (True, 0) in ids(kept)
+
+
 def test_langid(docs):
     got = langid.identify(docs)
     assert ids(got) == EVERY
@@ -79,6 +86,11 @@ def test_quality(docs, labels):
     assert {round(r["score"], 6) for r in quality.classify(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_of_nothing(docs, labels):
+    assert quality.classify(docs.where("false"), labels).count() == 0
+    assert quality.classify(docs, labels.where("false").select("doc_id", F.col("quality").cast("long"))).count() == len(DOCS)
+
+
 def test_decontamination(docs, items):
     got = decontam.find_leaks(docs, items)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(7, 1), (8, 1)}
@@ -105,6 +117,7 @@ def test_mixing(docs):
     assert not {2, 3, 5} & {r["doc_id"] for r in got.collect()}
     kept = mixing.keep_selected(docs, share=1.0, epochs=1)
     assert kept.columns == docs.columns
+    assert ids(kept) == sorted((i is None, i or 0) for i, t, *_ in DOCS if (t or "").strip())
 
 
 def test_sharding(docs):
