@@ -13,6 +13,7 @@ TOKENS = "doc_id long, para_idx int, tok_idx int, token string, label string"
 SAMPLES = "n_labels int, tokens array<string>, tags array<int>, hash string, original_hash string"
 BLOCKS = "doc_id long, page int, block_no int, x0 double, y0 double, x1 double, y1 double, text string"
 ALIGNMENT = "pair_id long, pos int, source string, target string"
+#: Tables of the store. Fixed values.
 STORE = {
     "anonymization_document": "id string, created_at timestamp, updated_at timestamp, name string",
     "anonymization_paragraph": "id string, created_at timestamp, updated_at timestamp, text string, prediction string, validation string",
