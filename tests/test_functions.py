@@ -236,3 +236,22 @@ def test_shapes_are_found_as_by_the_plain_search(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(spans.extract_spans(F.col("t")).alias("s"))
     for t, row in zip(texts, df.collect()):
         assert [(x["start"], x["end"]) for x in row["s"]] == [m.span() for m in plain.finditer(t)], t
+
+
+def test_rules_that_look_around_against_plain_regex(spark):
+    import re
+    import unicodedata
+
+    fold = lambda t: re.sub(r"[_\-,.;:]+", "", "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)))
+    texts = ["ex pareja", "expareja", "pareja de la madre", "es su vecino", "hijo", "exnuera", "compañero de trabajo", "la ex compañera", "se separaron", "estudios secundarios completos", "no terminó los estudios primarios", "primario incompleto", "cursa el universitario", "posgrado", "sin estudios", "continúa con el terciario", "cursa sus estudios primarios", "doméstica", "laboral y mediática", "mediante", "pública", "en la vía pública", ""]
+    for label in ("RELACION_Y_TIPO_ENTRE_ACUSADO/A_Y_DENUNCIANTE", "NIVEL_INSTRUCCION", "MODALIDAD_DE_LA_VIOLENCIA", "VIOLENCIA_DE_GENERO"):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+        got = [r["x"] for r in df.select(rules.regex_subcategory(F.lit(label), F.col("t"), F.lit(None).cast("array<string>")).alias("x")).collect()]
+        for t, found in zip(texts, got):
+            assert found == sorted(k for k, p in rules.CATEGORIES[label].items() if re.search(p, fold(t))), (label, t)
+
+
+def test_content_ids_against_the_plain_function(spark):
+    texts = ["a", "", "ñandú \U0001f600", "x" * 10_000]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(content_uuid("t").alias("x")).collect()]
+    assert got == [text_to_uuid(t) for t in texts] and len(set(got)) == 4

@@ -224,3 +224,38 @@ def test_model_extractor(spark):
         assert [len(r["entities"]) for r in out.orderBy("doc_id").collect()] == [1, 1, 0]
     finally:
         del EXTRACTORS["shouter"]
+
+
+def test_alignment_keeps_source_and_target(spark):
+    r = random.Random(11)
+    words = "a b c d e f g".split()
+    pairs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 12))), " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(99, "x\ny z", "x\ny z")]
+    df = spark.createDataFrame(pairs, "pair_id long, source_text string, target_text string")
+    for by_document in (False, True):
+        got = {}
+        for x in alignment.align(df, by_document).orderBy("pair_id", "pos").collect():
+            got.setdefault(x["pair_id"], []).append((x["source"], x["target"]))
+        for i, source, target in pairs:
+            own = got.get(i, [])
+            assert [s for s, _ in own] == source.split()
+            # Equal tokens come in the target's order, and no more of them than a longest common subsequence.
+            same = [s for s, t in own if s == t]
+            rest = iter(target.split())
+            assert all(any(t == s for t in rest) for s in same)
+        assert all(s == t for s, t in got[99])
+
+
+def test_augmentation_replaces_labels_only():
+    r = random.Random(12)
+    for _ in range(200):
+        tags, tokens = [], []
+        for _ in range(r.randint(1, 6)):
+            label, n = r.choice(["O", "PER", "DNI", "UNKNOWN"]), r.randint(1, 3)
+            tags += ["O"] * n if label == "O" else [f"B-{label}"] + [f"I-{label}"] * (n - 1)
+            tokens += [f"t{r.randrange(99)}" for _ in range(n)]
+        new, new_tags = augment.replace_entities(tokens, tags, random.Random(1))
+        plain = lambda t: t.removeprefix("B-").removeprefix("I-")
+        assert len(new) == len(new_tags)
+        assert [k for k, _ in groupby(map(plain, tags))] == [k for k, _ in groupby(map(plain, new_tags))]
+        kept = [w.lower() for w, t in zip(tokens, tags) if plain(t) in ("O", "UNKNOWN")]
+        assert [w.lower() for w, t in zip(new, new_tags) if plain(t) in ("O", "UNKNOWN")] == kept
