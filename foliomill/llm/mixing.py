@@ -148,18 +148,21 @@ def leaf_budgets(leaves: DataFrame, total: float, weights: Weights, epochs: int
     return order.select(*LEVELS, "tokens", F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("room"))).alias("given"))
 
 
-def _chosen(rows: DataFrame, kept: list[str], weights: Weights, share: float, epochs: int, seed: int) -> DataFrame:
-    """The rows of :func:`_members` that are selected, with ``copies`` and ``target``."""
+def _told(rows: DataFrame, kept: list[str], weights: Weights, share: float, epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`_members` with ``whole, rest, target``, their ``order`` and the tokens ``before`` them; and the leaves' plan."""
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
     count, tokens, n = leaves.agg(F.count("*"), F.sum("tokens"), F.sum("n")).first()
     given = leaf_budgets(leaves.drop("n"), share * (tokens or 0), weights, epochs)
     whole = F.least(F.lit(epochs), F.floor((F.col("given") + 1e-6) / F.col("tokens")).cast("int"))
     plan = given.select(*LEVELS, whole.alias("whole"), F.round(F.col("given") - whole * F.col("tokens")).cast("long").alias("rest"), F.round("given").cast("long").alias("target"))
     plan = materialize(plan)
-    told = rows.join(F.broadcast(plan) if count <= BROADCAST_LEAVES else plan, LEVELS).withColumn("order", F.xxhash64(F.lit(seed), F.col("whole"), "doc_id", "digest"))
-    told = with_before(told, LEVELS, "order", ["doc_id", "tokens", *kept], F.col("tokens"), bits_for(n or 0))
-    copies = F.col("whole") + (F.col("before") + F.col("tokens") <= F.col("rest")).cast("int")
-    return told.withColumn("copies", copies).where("copies > 0").select(*kept, "doc_id", *LEVELS, "tokens", "copies", "target")
+    told = rows.join(F.broadcast(plan) if count <= BROADCAST_LEAVES else plan, LEVELS).withColumn("order", _order(seed))
+    return with_before(told, LEVELS, "order", ["doc_id", *kept], F.col("tokens"), bits_for(n or 0)), plan
+
+
+def _order(seed: int) -> Column:
+    """Place of a document in its leaf's next epoch."""
+    return F.xxhash64(F.lit(seed), F.col("whole"), "doc_id", "digest")
 
 
 def select(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epochs: int = 2, seed: int = 13, domain: Column | None = None) -> DataFrame:
@@ -169,12 +172,27 @@ def select(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epoc
     which ``copies`` tells; ``target`` are the tokens its leaf was given.
     """
     rows = materialize(_members(docs, default_domain() if domain is None else domain, []))
-    return _chosen(rows, [], weights, share, epochs, seed)
+    told, _ = _told(rows, [], weights, share, epochs, seed)
+    copies = F.col("whole") + (F.col("before") + F.col("tokens") <= F.col("rest")).cast("int")
+    return told.withColumn("copies", copies).where("copies > 0").select("doc_id", *LEVELS, "tokens", "copies", "target")
 
 
 def keep_selected(docs: DataFrame, weights: Weights = DEFAULT, share: float = 0.7, epochs: int = 2, seed: int = 13) -> DataFrame:
-    """The rows of ``docs`` that are selected, each as often as it is taken."""
+    """The rows of ``docs`` that are selected, each as often as it is taken.
+
+    What a leaf takes of its next epoch is a prefix of an order, so the last row taken tells for
+    every row whether it belongs: documents meet the table of leaves and are never shuffled.
+    """
     every, place = numbered(docs), ["_file", "_at"]
-    members = _members(every.select(*place, "_row.doc_id", "_row.text", "_row.lang", "_row.source"), default_domain(), place)
-    chosen = materialize(_chosen(materialize(members), place, weights, share, epochs, seed).select(*place, "copies"))
-    return every.join(chosen, place).select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    fields = ["_row.doc_id", "_row.text", "_row.lang", "_row.source"]
+    rows = materialize(_members(every.select(*place, *fields), default_domain(), place))
+    told, plan = _told(rows, place, weights, share, epochs, seed)
+    # As signed longs, hashes compare like unsigned ones once their first bit is turned.
+    at = F.struct(F.col("order").bitwiseXOR(F.lit(-(1 << 63))).alias("order"), "doc_id", *place)
+    ends = told.where(F.col("before") + F.col("tokens") <= F.col("rest")).groupBy(*LEVELS).agg(F.max(at).alias("end"))
+    plan = materialize(plan.join(ends, LEVELS, "left").select(*LEVELS, "whole", "end"))
+    named = every.select("*", *fields).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    named = named.select("_row", *place, F.col("doc_id").cast("long").alias("doc_id"), default_domain().alias("domain"), F.coalesce("lang", F.lit("und")).alias("language"), F.coalesce("source", F.lit("none")).alias("branch"), F.xxhash64("text").alias("digest"))
+    taken = named.join(F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan, LEVELS).withColumn("order", _order(seed))
+    copies = F.col("whole") + F.coalesce((at <= F.col("end")).cast("int"), F.lit(0))
+    return taken.withColumn("copies", copies).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
