@@ -3,7 +3,8 @@
 Candidates share one of sixteen bands of four minima over hashed shingles, which pairs at the
 least similarity of 0.8 miss with a chance of 2 in 10,000 and more similar ones far less. Each
 band value's documents are first compared with the first of them, so a large group costs one
-comparison a member. What lies in different components but shares a band value is then dealt
+comparison a member; of these pairs only those whose minima agree often enough (a pair at the
+least similarity fails that with a chance of 1 in 2 million) fetch their texts. What lies in different components but shares a band value is then dealt
 to blocks of bounded size, each of which counts the shared shingles of all its members at once
 and returns a spanning forest of the links it finds: no pair becomes a row unless it is a link
 that joins two components. Every link is verified on the whole sets of shingles.
@@ -29,6 +30,8 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Documents and shingles that half a block should hold at most, on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Minima, of all, that a pair must agree in (in their last byte) for its texts to be compared.
+AGREEING = 36
 _KEYS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
 
 
@@ -42,13 +45,18 @@ def shingle_sets(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np
             yield np.unique(gram_hashes(own, np.zeros(len(own), dtype=np.int64), min(width, len(own)))[0]) if len(own) else own
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """One value for each band of minima."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the shingles under each of the hash functions."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for at in range(0, len(shingles), 4096):
         x = (shingles[None, at : at + 4096] ^ _KEYS) * (_KEYS | np.uint64(1))
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         least = np.minimum(least, x.min(axis=1))
+    return mix(least)
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One value for each band of minima."""
     out = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + row)
@@ -114,18 +122,33 @@ def forest(sets: list[np.ndarray], roots: np.ndarray, least: float) -> list[tupl
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """``node, doc_id, _file, _at, size, cells`` of the rows (_file, _at, doc_id, text) that have words."""
+    """``node, doc_id, _file, _at, size, cells, sketch`` of the rows (_file, _at, doc_id, text) that have words."""
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), bands(s).view(np.int64) if len(s) else None) for s in shingle_sets(t.as_py() for t in batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.list_(pa.int64()))], names=["_file", "_at", "doc_id", "size", "cells"])
+            sets = list(shingle_sets(t.as_py() for t in batch.column(3)))
+            least = [minima(x) if len(x) else None for x in sets]
+            cells = pa.array([None if x is None else bands(x).view(np.int64) for x in least], pa.list_(pa.int64()))
+            sketch = pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in least], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in sets], pa.int64()), cells, sketch], names=["_file", "_at", "doc_id", "size", "cells", "sketch"])
 
-    made = rows.select("_file", "_at", "doc_id", "text").mapInArrow(run, "_file long, _at long, doc_id long, size long, cells array<long>")
+    made = rows.select("_file", "_at", "doc_id", "text").mapInArrow(run, "_file long, _at long, doc_id long, size long, cells array<long>, sketch binary")
     return materialize(made.where("size > 0").withColumn("node", F.monotonically_increasing_id()))
 
 
+def likely(signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose minima agree often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= AGREEING))
+
+    first, second = (signed.select(F.col("node").alias(i), F.col("sketch").alias(f"sketch_{i}")) for i in "ab")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def verified(texts: DataFrame, pairs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose ``texts`` (node, text) have at least that similarity."""
 
@@ -170,15 +193,18 @@ def blocks_of(mixed: DataFrame, members: DataFrame) -> DataFrame:
     return apart.select("cell", "node", "root", F.explode(several).alias("p")).select(F.xxhash64("cell", "p.i", "p.j").alias("block"), "node", "root")
 
 
-def linked(signed: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+def linked(signed: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame:
     """``node, root``: the components of the rows that are linked to any other.
 
-    ``signed`` is what :func:`signatures` returns, ``texts`` are node and text of the same rows.
+    ``signed`` is what :func:`signatures` returns for ``rows`` (_file, _at, text).
     """
     every = signed.select("node", "size", F.explode("cells").alias("cell"))
     many = materialize(every.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("cell", "a"))
     shared = materialize(every.join(many, "cell").select("cell", "a", "node", "size"))
-    star = materialize(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    star = materialize(likely(signed, shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()))
+    # Texts of rows that any other may be like are read once; the join is the same at every size.
+    wanted = signed.select("_file", "_at", "node").join(shared.select("node").distinct(), "node", "left_semi")
+    texts = materialize(rows.select("_file", "_at", "text").join(wanted.hint("merge"), ["_file", "_at"]).select("node", "text"))
     links = materialize(verified(texts, star, least))
     named = shared.join(components(links), "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
     named = materialize(named)
@@ -193,9 +219,9 @@ def linked(signed: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFra
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without the rows that aren't their component's first one."""
     every = numbered(docs)
-    signed = signatures(every.select("_file", "_at", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text")))
-    texts = every.select("_file", "_at", F.col("_row.text").alias("text")).join(signed.select("_file", "_at", "node"), ["_file", "_at"]).select("node", "text")
-    parts = materialize(linked(signed, texts, least))
+    rows = every.select("_file", "_at", F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.text").alias("text"))
+    signed = signatures(rows)
+    parts = materialize(linked(signed, rows, least))
     rows = signed.select("node", "doc_id", "_file", "_at").join(parts, "node")
     stays = rows.groupBy("root").agg(first_row().alias("least")).select("least._file", "least._at")
     return without(every, materialize(rows.select("_file", "_at").join(stays, ["_file", "_at"], "left_anti")))
