@@ -174,7 +174,7 @@ def test_near_duplicates_stage_against_all_pairs(spark):
     assert len({x["doc_id"] for x in simhash.keep_one(docs).collect()}) > len(expected) + 20
 
 
-@pytest.mark.parametrize("agreeing", [1, 2, 3, 4])
+@pytest.mark.parametrize("agreeing", [1, 2, 3])
 def test_patterns_of_any_width_lose_no_link(spark, agreeing):
     r = random.Random(12)
     masks = [m & (1 << 64) - 1 for m in simhash.patterns(4, agreeing)]
@@ -527,7 +527,7 @@ def test_prefixes_against_brute_force(spark):
         assert all(abs(copies.get(i, 0) - c) <= (abs(given[leaf] - round(given[leaf])) > 1e-9) for i, c in expected.items())
 
 
-@pytest.mark.parametrize("total", [0, 50, 400, 1000, 3000, 10**6])
+@pytest.mark.parametrize("total", [0, 400, 3000, 10**6])
 def test_leaf_budgets_on_spark_are_those_of_the_tree(spark, total):
     r = random.Random(9)
     weights = mixing.Weights({(): {"a": 0.6, "b": 0.3, "c": 0.0}, ("a", "x"): {"s0": 3.0, "s1": 0.0, "s2": 0.0}, ("*", "*"): {"s1": 0.5}}, 1.0)
@@ -742,12 +742,3 @@ def test_each_stage_against_brute_force(spark):
     assert counts.max() - counts.min() <= 1 and all(sorted(own.slot) == list(range(len(own))) for _, own in last.groupby("shard"))
     whole_run = corpus_pipeline.run(spark, folder).toPandas()
     assert sorted(map(tuple, whole_run[["doc_id", "shard", "slot"]].values)) == sorted(map(tuple, last[["doc_id", "shard", "slot"]].values))
-
-
-@needs_data
-def test_pipeline_leaves_most_clean_documents(spark, tables):
-    got = corpus_pipeline.run(spark, DATA).toPandas()
-    docs = [(r["doc_id"], r["text"]) for r in tables["documents"].select("doc_id", "text").collect()]
-    clean = brute_near_duplicates(docs)
-    assert set(got.doc_id) <= clean and got.doc_id.is_unique
-    assert len(got) >= 0.8 * len(clean)
