@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -68,16 +70,35 @@ def _places(scores: np.ndarray, least: float, names: list, k: int) -> list[tuple
     return [(place + 1, name, float(-s)) for place, (s, name) in enumerate(near)]
 
 
+_WORD = re.compile(r"\w{2,}")
+
+
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Lower-case words of two or more letters, digits or underscores, and their counts."""
-    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
-    return docs.select(key, words.alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``key, term, tf``: lower-case words of two or more letters, digits or underscores, and their counts.
+
+    Counted row by row in Arrow batches, so that no word is shuffled to be counted; a key stands
+    for one row.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                keys, terms, counts = [], [], []
+                for k, x in zip(batch["_key"].iloc[at : at + 256], batch["_text"].iloc[at : at + 256]):
+                    own = Counter(_WORD.findall((x or "").lower()))
+                    keys += [k] * len(own)
+                    terms += own.keys()
+                    counts += own.values()
+                yield pd.DataFrame({key: keys, "term": terms, "tf": counts})
+
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, term string, tf long")
 
 
-def tfidf_fit(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, int]:
-    """``term, idf`` with idf = ln((1 + n) / (1 + df)) + 1, and n."""
+def tfidf_fit(docs: DataFrame, key: str, text: str = "text", counts: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``term, idf`` with idf = ln((1 + n) / (1 + df)) + 1, and n; ``counts`` are the documents' :func:`term_counts`, if kept."""
     n = docs.count()
-    df = term_counts(docs, key, text).groupBy("term").agg(F.count("*").alias("df"))
+    df = (term_counts(docs, key, text) if counts is None else counts).groupBy("term").agg(F.count("*").alias("df"))
     return df.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")), n
 
 
@@ -98,7 +119,7 @@ def best_match(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     return top_k(pairs, [key_a], [F.desc("score"), F.col(key_b)], 1, "_r").drop("_r")
 
 
-def best_document(items: DataFrame, docs: DataFrame, key_items: str, key_docs: str, idf: DataFrame, text: str = "text", block_terms: int = 1 << 20) -> DataFrame:
+def best_document(items: DataFrame, docs: DataFrame, key_items: str, key_docs: str, idf: DataFrame, text: str = "text", block_terms: int = 1 << 20, counts: DataFrame | None = None) -> DataFrame:
     """The document closest to each item: ``key_items, key_docs, score`` of TF-IDF cosine.
 
     ``items`` (key, term, w) are the stated side. Their vectors reach the tasks in blocks of
@@ -108,8 +129,9 @@ def best_document(items: DataFrame, docs: DataFrame, key_items: str, key_docs: s
     """
     spark = items.sparkSession
     wanted = items.select("term").distinct().withColumn("wanted", F.lit(True))
-    counts = term_counts(docs, key_docs, text).join(idf.join(wanted, "term", "left"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    vectors = counts.groupBy(key_docs).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw"))).alias("terms"))
+    counts = (term_counts(docs, key_docs, text) if counts is None else counts).join(idf.join(wanted, "term", "left"), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    vectors = counts.groupBy(key_docs).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "raw"))).alias("x"))
+    vectors = vectors.select(key_docs, "norm", F.transform("x", lambda t: t["term"]).alias("terms"), F.transform("x", lambda t: t["raw"]).alias("raws"))
     return _scan_best(spark, items, vectors, key_items, key_docs, block_terms)
 
 
@@ -119,19 +141,20 @@ def _scan_best(spark, items: DataFrame, vectors: DataFrame, key_items: str, key_
 
     def pass_over(block) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, postings = block.value
-            best: dict[int, tuple[float, object]] = {}
+            names, number, begin, item, weight = block.value
+            best, whose = np.zeros(len(names)), [None] * len(names)
             for batch in batches:
-                for key, norm, terms in zip(batch[key_docs], batch["norm"], batch["terms"]):
-                    score = np.zeros(len(names))
-                    for t in terms:
-                        if (p := postings.get(t["term"])) is not None:
-                            score[p[0]] += p[1] * (t["raw"] / norm)
-                    for i in np.flatnonzero(score):
-                        x = round(float(score[i]), 9)
-                        if (now := best.get(i)) is None or x > now[0] or (x == now[0] and key < now[1]):
-                            best[i] = (x, key)
-            yield pd.DataFrame([(names[i], key, x) for i, (x, key) in best.items()], columns=[key_items, key_docs, "score"])
+                for key, norm, terms, raws in zip(batch[key_docs], batch["norm"], batch["terms"], batch["raws"]):
+                    at = np.array([number.get(t, -1) for t in terms], dtype=np.int64)
+                    own, raw = at[at >= 0], np.asarray(raws, dtype=np.float64)[at >= 0] / norm
+                    n = begin[own + 1] - begin[own]
+                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
+                    score = np.round(np.bincount(item[place], weights=weight[place] * np.repeat(raw, n), minlength=len(names)), 9)
+                    for i in np.flatnonzero((score >= best) & (score > 0)).tolist():
+                        if score[i] > best[i] or key < whose[i]:
+                            best[i], whose[i] = score[i], key
+            found = [(names[i], k, float(best[i])) for i, k in enumerate(whose) if k is not None]
+            yield pd.DataFrame(found, columns=[key_items, key_docs, "score"])
 
         return vectors.mapInPandas(run, schema)
 
@@ -140,12 +163,10 @@ def _scan_best(spark, items: DataFrame, vectors: DataFrame, key_items: str, key_
     def flush() -> None:
         names = sorted({x[0] for x in held})
         place = {n: i for i, n in enumerate(names)}
-        postings: dict[str, tuple[list, list]] = {}
-        for name, term, w in held:
-            own = postings.setdefault(term, ([], []))
-            own[0].append(place[name])
-            own[1].append(w)
-        made.append(pass_over(spark.sparkContext.broadcast((names, {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}))))
+        rows = sorted((term, place[name], w) for name, term, w in held)
+        number = {t: i for i, t in enumerate(dict.fromkeys(r[0] for r in rows))}
+        begin = np.searchsorted(np.array([number[r[0]] for r in rows]), np.arange(len(number) + 1))
+        made.append(pass_over(spark.sparkContext.broadcast((names, number, begin, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))))
 
     for row in items.select(key_items, "term", "w").orderBy(key_items).toLocalIterator():
         if len(held) >= block_terms and held[-1][0] != row[0]:

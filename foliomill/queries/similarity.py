@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, matching, similarity
+from ..operators.store import TableCache
 from .registry import query
 
 _TERMS = r"SELECT {k}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM {t}"
@@ -20,9 +21,14 @@ pairs AS (SELECT item_id, doc_id, round(sum(bw.w * dw.w), 9) AS score FROM bw JO
 
 @query(f"WITH {TFIDF} SELECT item_id, arg_max(doc_id, (score, -doc_id)) AS doc_id, round(max(score), 6) AS score FROM pairs GROUP BY item_id")
 def tfidf_cosine_best_match(t):
-    idf, _ = similarity.tfidf_fit(t.documents, "doc_id")
+    from .files import work_folder
+
+    # Counts and weights are read several times, so they are written once.
+    kept = TableCache(t.spark, work_folder(t.spark))
+    counts = kept.save("counts", similarity.term_counts(t.documents, "doc_id"))
+    idf = kept.save("idf", similarity.tfidf_fit(t.documents, "doc_id", counts=counts)[0])
     items = similarity.tfidf_transform(t.benchmark, "item_id", idf)
-    return similarity.best_document(items, t.documents, "item_id", "doc_id", idf).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return similarity.best_document(items, t.documents, "item_id", "doc_id", idf, counts=counts).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, round(avg(x), 6) AS x FROM e GROUP BY label, i), o AS (SELECT label AS option_id, list(x ORDER BY i) AS v FROM c GROUP BY label), s AS (SELECT vec_id AS query_id, option_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * v[i])), 9) AS score FROM embeddings, o), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, option_id)::INT AS rank FROM s) SELECT query_id, rank, option_id, round(score, 6) AS score FROM r WHERE rank <= 3")
